@@ -12,7 +12,9 @@ def name_key(name: Column) -> Column:
 def id_array(ids: Column) -> Column:
     """'5,6' -> ['5', '6']; an empty or missing list gives an empty array."""
     text = F.coalesce(ids, F.lit(""))
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(
+        F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""
+    )
 
 
 def id_list(ids: Column) -> Column:

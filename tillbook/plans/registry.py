@@ -495,9 +495,9 @@ add(
 )
 add(
     "supplier_search",
-    lambda t: parties.supplier_search(t, "party#00000000"),
+    lambda t: parties.supplier_search(t, "party00000000"),
     """select supplierID, supplierName from suppliers
-    where lower(supplierName) like 'party#00000000%'""",
+    where lower(supplierName) like 'party00000000%'""",
 )
 CUSTOMER_REPAYMENTS = f"""select rdcID, customers.customerID, customerName, r.shelfID, shelfName,
     amountReturn, amountReturnIQD, discount, dollarPrice, invoiceNumbers, r.createAt, userName
