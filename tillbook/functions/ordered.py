@@ -77,17 +77,32 @@ def _counted(blocks: DataFrame, level: int) -> DataFrame:
     )
 
 
-def descending_rank(df: DataFrame, key: str, rank: str) -> DataFrame:
-    """Unique ids with their 0-based place, largest id first."""
-    rows = df.select((-F.col(key)).alias("_pos"), F.lit(1).cast("bigint").alias("_n"))
-    return _counted(rows, LEVELS).select(
-        (-F.col("_pos")).alias(key), F.col("_before").cast("bigint").alias(rank)
+def descending_slice(df: DataFrame, key: str, skip: int, size: int) -> DataFrame:
+    """The unique ids at places skip .. skip + size - 1, largest first.
+
+    Blocks are counted and placed first. Only rows of blocks that reach into the
+    slice are ranked; as no block is empty there are at most size + 1 of those.
+    """
+    rows = df.select((-F.col(key)).alias("_pos")).withColumn("_up", F.shiftright("_pos", BLOCK_BITS))
+    blocks = rows.groupBy(F.col("_up").alias("_pos")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = _counted(blocks, LEVELS - 1)
+    reached = placed.filter(
+        (F.col("_before") < skip + size) & (F.col("_before") + F.col("_n") > skip)
+    ).select(F.col("_pos").alias("_up"), "_before")
+    inside = Window.partitionBy("_up").orderBy("_pos")
+    place = F.col("_before") + F.row_number().over(inside) - 1
+    return (
+        rows.join(F.broadcast(reached), "_up")
+        .withColumn("_place", place)
+        .filter((F.col("_place") >= skip) & (F.col("_place") < skip + size))
+        .select((-F.col("_pos")).alias(key))
     )
 
 
 def segmented(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds ``_seg``: consecutive, evenly filled ranges of the given order."""
-    cut = df.repartitionByRange(*order).withColumn("_seg", F.spark_partition_id())
+    """Adds ``_seg``: as many consecutive, evenly filled ranges as there are shuffle partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *order).withColumn("_seg", F.spark_partition_id())
     return checkpointed(cut)
 
 

@@ -11,27 +11,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.functions.shared import checkpointed
+
 # Below this many rows a key is never worth splitting.
 HOT_FLOOR = 10_000
 SHARES_PER_PARTITION = 10
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR) -> DataFrame:
-    """Hot keys with ``_shares``, the number of parts each should be split into."""
+def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR) -> DataFrame | None:
+    """Hot keys with ``_shares``, the number of parts each is to be split into; None if there are none.
+
+    The keys are counted right away, once, and the short list is kept in the
+    checkpoint folder, so that the plans built on it do not count again.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = partitions * SHARES_PER_PARTITION
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    share = F.greatest(F.lit(floor), F.ceil(total / F.lit(shares)))
-    return (
-        counts.withColumn("_share", share)
+    large = counts.filter(F.col("_n") > floor)
+    total = df.select(*keys).agg(F.count(F.lit(1))).scalar()
+    share = F.greatest(F.lit(floor), F.ceil(total / F.lit(partitions * SHARES_PER_PARTITION)))
+    hot = (
+        large.withColumn("_share", share)
         .filter(F.col("_n") > F.col("_share"))
         .select(*keys, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_shares"))
     )
+    hot = checkpointed(hot)
+    return None if hot.isEmpty() else hot
 
 
-def with_part(df: DataFrame, hot: DataFrame, keys: Sequence[str], row_key: Column) -> DataFrame:
+def with_part(
+    df: DataFrame, hot: DataFrame | None, keys: Sequence[str], row_key: Column
+) -> DataFrame:
     """Adds ``_part``: 0 for ordinary keys, a hash share of the rows for hot ones."""
+    if hot is None:
+        return df.withColumn("_part", F.lit(0))
     return (
         df.join(F.broadcast(hot), list(keys), "left")
         .withColumn(
@@ -47,8 +59,8 @@ def spread_join(
     lookup: DataFrame,
     keys: Sequence[str],
     row_key: Column,
+    hot: DataFrame | None,
     how: str = "inner",
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Joins facts to a lookup with one row per key; hot keys are split over many tasks.
 
@@ -56,7 +68,8 @@ def spread_join(
     20 * P rows in all.
     """
     keys = list(keys)
-    hot = hot_keys(facts, keys) if hot is None else hot
+    if hot is None:
+        return facts.join(lookup, keys, how)
     left = with_part(facts, hot, keys, row_key)
     right = (
         lookup.join(F.broadcast(hot), keys, "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillbook import schema as S
 from tillbook.functions.names import explode_ids, id_array, without_id
-from tillbook.functions.spread import hot_keys, spread_join
+from tillbook.functions.spread import HOT_FLOOR, hot_keys, spread_join
 from tillbook.operators import posting
 
 INSERT, UPDATE, PATCH, DELETE = "insert", "update", "patch", "delete"
@@ -77,7 +77,7 @@ def merge_invoice_lines(t, adds: DataFrame) -> DataFrame:
 LINE = ["invoiceID", "itemID"]
 
 
-def apply_line_events(events: DataFrame) -> DataFrame:
+def apply_line_events(events: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     """Lines after events (invoiceID, itemID, seq, kind, qty, price, cost).
 
     ``add`` opens a line or adds to it, ``inc`` and ``dec`` change its quantity by
@@ -90,10 +90,10 @@ def apply_line_events(events: DataFrame) -> DataFrame:
     """
     kind, seq = F.col("kind"), F.col("seq")
     row_key = F.col("seq")
-    hot = hot_keys(events, LINE)
+    hot = hot_keys(events, LINE, floor)
     dropped = events.filter(kind == DROP).groupBy(*LINE).agg(F.max("seq").alias("_dropped"))
     live = (
-        spread_join(events.filter(kind != DROP), dropped, LINE, row_key, "left", hot)
+        spread_join(events.filter(kind != DROP), dropped, LINE, row_key, hot, "left")
         .filter(F.col("_dropped").isNull() | (seq > F.col("_dropped")))
         .drop("_dropped")
     )
@@ -130,7 +130,7 @@ def apply_line_events(events: DataFrame) -> DataFrame:
     steps = live.filter(kind.isin(ADD, INC, DEC)).select(*LINE, "seq", step.alias("_step"))
     state = ["productPrice", "costPrice", "_base"]
     return (
-        spread_join(steps, anchors, LINE, row_key, "inner", hot)
+        spread_join(steps, anchors, LINE, row_key, hot)
         .groupBy(*LINE, *state)
         .agg(F.sum(F.when(seq >= F.col("_from"), F.col("_step")).otherwise(0)).alias("_steps"))
         .select(

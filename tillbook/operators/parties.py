@@ -13,7 +13,7 @@ def _or_zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def customer_account(t) -> DataFrame:
+def customer_account(t, *extra: str) -> DataFrame:
     """What makes up a customer's debt.
 
     Our choice, as the shop's own view is not at hand: debt is the value of closed
@@ -32,7 +32,7 @@ def customer_account(t) -> DataFrame:
         ),
     )
     return (
-        t.customers.select("customerID", "customerName", "previousDebt")
+        t.customers.select("customerID", "customerName", "previousDebt", *extra)
         .join(sums, "customerID", "left")
         .select(
             "customerID",
@@ -41,11 +41,12 @@ def customer_account(t) -> DataFrame:
             _or_zero("totalInvoiceDebt").cast(S.TOTAL).alias("totalInvoiceDebt"),
             _or_zero("totalPay").cast(S.CONVERTED).alias("totalPay"),
             _or_zero("totalReturnInvoice").cast(S.TOTAL).alias("totalReturnInvoice"),
+            *extra,
         )
     )
 
 
-def supplier_account(t) -> DataFrame:
+def supplier_account(t, *extra: str) -> DataFrame:
     """What makes up the shop's debt to a supplier; the same choices as for customers."""
     debt = (F.col("stockType") == S.PURCHASE) & (F.col("paymentType") == S.DEBT)
     paid = to_dollars(F.col("amountPay"), F.col("amountPayIQD"), F.col("dollarPrice"))
@@ -57,7 +58,7 @@ def supplier_account(t) -> DataFrame:
         ),
     )
     return (
-        t.suppliers.select("supplierID", "supplierName", "previousBalance")
+        t.suppliers.select("supplierID", "supplierName", "previousBalance", *extra)
         .join(sums, "supplierID", "left")
         .select(
             "supplierID",
@@ -66,11 +67,13 @@ def supplier_account(t) -> DataFrame:
             _or_zero("totalPurchaseDebt").cast(S.TOTAL).alias("totalPurchaseDebt"),
             _or_zero("totalPay").cast(S.CONVERTED).alias("totalPay"),
             _or_zero("totalReturnPurchase").cast(S.TOTAL).alias("totalReturnPurchase"),
+            *extra,
         )
     )
 
 
-def _customer_remains(t) -> DataFrame:
+def _customer_remains(t, *extra: str) -> DataFrame:
+    """Customers with the parts and the rest of their debt, and further customer columns."""
     repaid = t.return_debt_customer.groupBy("customerID").agg(
         F.sum("amountReturn").cast(S.TOTAL).alias("totalReturnDebt")
     )
@@ -80,14 +83,15 @@ def _customer_remains(t) -> DataFrame:
         - (F.col("totalReturnInvoice") + F.col("totalPay") + F.col("totalReturnDebt"))
     )
     return (
-        customer_account(t)
+        customer_account(t, *extra)
         .join(repaid, "customerID", "left")
         .withColumn("totalReturnDebt", _or_zero("totalReturnDebt").cast(S.TOTAL))
         .withColumn("totalRemainCustomer", remain.cast(S.CONVERTED))
     )
 
 
-def _supplier_remains(t) -> DataFrame:
+def _supplier_remains(t, *extra: str) -> DataFrame:
+    """Suppliers with the parts and the rest of the shop's debt, and further supplier columns."""
     repaid = t.return_debt.groupBy("supplierID").agg(
         F.sum("amountReturn").cast(S.TOTAL).alias("totalReturnDebt")
     )
@@ -97,7 +101,7 @@ def _supplier_remains(t) -> DataFrame:
         - (F.col("totalPay") + F.col("totalReturnPurchase") + F.col("totalReturnDebt"))
     )
     return (
-        supplier_account(t)
+        supplier_account(t, *extra)
         .join(repaid, "supplierID", "left")
         .withColumn("totalReturnDebt", _or_zero("totalReturnDebt").cast(S.TOTAL))
         .withColumn("totalRemainSupplier", remain.cast(S.CONVERTED))
@@ -183,14 +187,20 @@ def supplier_netting(t) -> DataFrame:
 
 
 def customers_with_debt(t, active_only: bool = False) -> DataFrame:
-    """Customer directory with a search label and the netted debt."""
+    """Customer directory with a search label and the netted debt.
+
+    A customer's own debt comes by id, only the supplier's by name.
+    """
     rows = t.customers.filter(F.col("activeStatus") == S.YES) if active_only else t.customers
-    ours = _by_name(_customer_remains(t), "customerName", "totalRemainCustomer")
+    extra = (
+        "phoneNumber", "address", "limitDebt", "wholePrice", "doesSupplier", "createAt",
+        "activeStatus", "userID",
+    )
     theirs = _by_name(_supplier_remains(t), "supplierName", "totalRemainSupplier")
     return (
-        rows.join(t.users.select("userID", "userName"), "userID")
+        _customer_remains(t.replaced(customers=rows), *extra)
+        .join(t.users.select("userID", "userName"), "userID")
         .withColumn("_name", name_key(F.col("customerName")))
-        .join(ours, "_name", "left")
         .join(theirs, "_name", "left")
         .select(
             "customerID",
@@ -205,13 +215,12 @@ def customers_with_debt(t, active_only: bool = False) -> DataFrame:
 
 def suppliers_with_debt(t) -> DataFrame:
     """Active suppliers with the netted debt."""
-    ours = _by_name(_supplier_remains(t), "supplierName", "totalRemainSupplier")
+    rows = t.suppliers.filter(F.col("activeStatus") == S.YES)
     theirs = _by_name(_customer_remains(t), "customerName", "totalRemainCustomer")
     return (
-        t.suppliers.filter(F.col("activeStatus") == S.YES)
+        _supplier_remains(t.replaced(suppliers=rows), "phone", "address", "createAt", "activeStatus")
         .withColumn("_name", name_key(F.col("supplierName")))
         .join(theirs, "_name", "left")
-        .join(ours, "_name", "left")
         .select(
             "supplierID", "supplierName", "phone", "address", "previousBalance", "createAt",
             "activeStatus",

@@ -104,23 +104,20 @@ def _paged(t, purchases: DataFrame) -> DataFrame:
 def purchase_page(t, page: int, size: int = 20) -> DataFrame:
     """A page of purchases, newest id first, numbered from 1.
 
-    Early pages are a top-k. For pages further in, every id is ranked in parallel
-    and only the rows of the page are kept, so nothing is skipped through a single
-    task.
+    Early pages are a top-k. For pages further in, blocks of ids are counted in
+    parallel and only those the page lies in are ranked, so nothing is skipped
+    through a single task.
     """
-    rows = _supplied(t, t.purchases).join(
-        t.users.select(F.col("userID").alias("userIDUpdate")), "userIDUpdate", "left_semi"
-    )
-    skipped = (page - 1) * size
-    if skipped + size <= SHALLOW:
-        chosen = rows.select("purchaseID").orderBy(F.desc("purchaseID")).limit(skipped + size)
-        chosen = chosen.offset(skipped)
+    known = t.users.select(F.col("userID").alias("userIDUpdate"))
+    rows = _supplied(t, t.purchases).join(known, "userIDUpdate", "left_semi").select("purchaseID")
+    skip = (page - 1) * size
+    if skip + size <= SHALLOW:
+        chosen = rows.orderBy(F.desc("purchaseID")).limit(skip + size).offset(skip)
     else:
-        ranked = ordered.descending_rank(rows, "purchaseID", "_rank")
-        chosen = ranked.filter(F.col("_rank").between(skipped, skipped + size - 1))
-        chosen = chosen.select("purchaseID")
+        chosen = ordered.descending_slice(rows, "purchaseID", skip, size)
+    # At most one page of ids.
     return (
-        _paged(t, t.purchases.join(chosen, "purchaseID", "left_semi"))
+        _paged(t, t.purchases.join(F.broadcast(chosen), "purchaseID", "left_semi"))
         .orderBy(F.desc("purchaseID"))
         .select(*PAGE)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillbook.operators import allocation, cash, changes, parties, posting, pricing, purchases, sales
 from tillbook.operators import stock as stock_ops
 from tillbook.plans.oracle import C, M, T, sql
+from tillbook.session import ready
 from tillbook.sources import retail
 from tillbook.sources.tables import Tables
 from tillbook.streaming import streams
@@ -938,9 +939,3 @@ def oracle_sql() -> dict[str, str]:
     found = {name: query.oracle for name, query in QUERIES.items() if query.oracle}
     found.update({name: query.oracle for name, query in STREAMS.items()})
     return found
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Days are UTC days throughout."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark

@@ -205,12 +205,14 @@ def load(spark: SparkSession, folder: str) -> Tables:
             f"{COST} costAfterDisc",
         )
 
-    def purchases(t: Tables):
+    def purchases(_):
         totals = (
-            t.purchase_items.groupBy("purchaseID")
-            .agg(F.sum(F.col("qty") * F.col("costPrice")).cast(S.MONEY).alias("totalPrice"))
-            .withColumn("l_orderkey", F.expr("purchaseID div 100000"))
-            .withColumn("l_suppkey", F.expr("purchaseID % 100000"))
+            raw("lineitem")
+            .filter(IS_PURCHASE)
+            .join(raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("l_orderkey", "l_suppkey")
+            .agg(F.expr(f"cast(sum(cast(l_quantity as int) * {COST}) as {S.MONEY})").alias("totalPrice"))
+            .withColumn("purchaseID", F.expr("l_orderkey * 100000 + l_suppkey"))
         )
         return totals.join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
             "purchaseID",
@@ -239,8 +241,8 @@ def load(spark: SparkSession, folder: str) -> Tables:
             .selectExpr(
                 "l_orderkey",
                 "l_partkey",
-                f"case when {IS_SALE} then 'sale' when {IS_DISPOSAL} then 'disposal'"
-                f" when {IS_PURCHASE} then 'purchase' end kind",
+                f"case when {IS_SALE} then 1 when {IS_DISPOSAL} then 2"
+                f" when {IS_PURCHASE} then 3 end kind",
                 f"{supplier} l_suppkey",
                 "cast(l_quantity as int) qty",
                 "l_discount",
@@ -249,9 +251,9 @@ def load(spark: SparkSession, folder: str) -> Tables:
             .groupBy("l_orderkey", "l_partkey", "kind", "l_suppkey")
             .agg(F.sum("qty").cast("int").alias("qty"), F.min("l_discount").alias("l_discount"))
         )
-        sale = "kind = 'sale'"
+        sale = "kind = 1"
         source_type = (
-            f"case when {sale} then {STOCK_TYPE} when kind = 'disposal' then 'd'"
+            f"case when {sale} then {STOCK_TYPE} when kind = 2 then 'd'"
             f" else {PURCHASE_TYPE} end"
         )
         return (
@@ -261,7 +263,7 @@ def load(spark: SparkSession, folder: str) -> Tables:
             .withColumn("sourceType", F.expr(source_type))
             .selectExpr(
                 f"""case when {sale} then l_orderkey
-                         when kind = 'disposal' then l_orderkey * 1000000 + l_partkey
+                         when kind = 2 then l_orderkey * 1000000 + l_partkey
                          else l_orderkey * 100000 + l_suppkey end sourceID""",
                 "sourceType",
                 "l_partkey itemID",
