@@ -57,8 +57,9 @@ def random_case(seed, customers, invoices, hot):
     return rows, payments
 
 
-def allocated(t):
-    return {r["invoiceID"]: (r["pays"], r["wasl"], r["rdcID"]) for r in dicts(allocate_repayments(t))}
+def allocated(t, floor=10_000):
+    rows = dicts(allocate_repayments(t, floor))
+    return {r["invoiceID"]: (r["pays"], r["wasl"], r["rdcID"]) for r in rows}
 
 
 def test_many_customers_match_a_loop(shop):
@@ -69,9 +70,17 @@ def test_many_customers_match_a_loop(shop):
 
 
 def test_one_customer_with_most_of_the_rows(shop):
-    invoices, payments = random_case(3, 20, 1500, 0.7)
+    invoices, payments = random_case(3, 300, 1500, 0.6)
     t = shop(invoices=invoices, return_debt_customer=payments)
+    # Once as plain windows, once with the large customer cut into segments.
     assert allocated(t) == plain(invoices, payments)
+    assert allocated(t, floor=100) == plain(invoices, payments)
+
+
+def test_every_customer_cut_into_segments(shop):
+    invoices, payments = random_case(4, 20, 1500, 0.3)
+    t = shop(invoices=invoices, return_debt_customer=payments)
+    assert allocated(t, floor=1) == plain(invoices, payments)
 
 
 def test_exact_fit_and_overpaid_invoice(shop):

@@ -36,10 +36,14 @@ def test_prefix_sums_of_one_huge_key(spark):
     chance = random.Random(5)
     rows = [(0 if n % 3 else n, n % 7, n, chance.randrange(-5, 9)) for n in range(4000)]
     df = spark.createDataFrame(rows, "k bigint, o bigint, id bigint, v bigint")
-    got = {
-        r["id"]: (r["running"], r["peak"], r["peak_before"])
-        for r in dicts(ordered.prefix_sums(df, "k", ["o", "id"], "v"))
-    }
+    hot = spread.hot_keys(df, ["k"], floor=100)
+    plain, cut = (
+        {
+            r["id"]: (r["running"], r["peak"], r["peak_before"])
+            for r in dicts(ordered.prefix_sums(df, ["k"], ["o", "id"], "v", hot=keys))
+        }
+        for keys in (None, hot)
+    )
     expected, state = {}, {}
     for k, _, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         total, peak = state.get(k, (0, None))
@@ -47,7 +51,8 @@ def test_prefix_sums_of_one_huge_key(spark):
         now = total if peak is None else max(peak, total)
         expected[i] = (total, now, peak)
         state[k] = (total, now)
-    assert got == expected
+    assert plain == expected
+    assert cut == expected
     segments = ordered.segmented(df, ["k", "o", "id"]).filter("k = 0").select("_seg").distinct().count()
     assert segments > 1
 
@@ -56,10 +61,11 @@ def test_next_value(spark):
     chance = random.Random(6)
     rows = [(n % 2, n, chance.choice([None, None, None, n])) for n in range(900)]
     df = spark.createDataFrame(rows, "k bigint, o bigint, v bigint")
-    got = {r["o"]: r["n"] for r in dicts(ordered.next_value(df, "k", ["o"], "v", "n"))}
-    for k, o, _ in rows:
-        following = [v for kk, oo, v in rows if kk == k and oo >= o and v is not None]
-        assert got[o] == (following[0] if following else None)
+    for hot in (None, spread.hot_keys(df, ["k"], floor=100)):
+        got = {r["o"]: r["n"] for r in dicts(ordered.next_value(df, ["k"], ["o"], "v", "n", hot))}
+        for k, o, _ in rows:
+            following = [v for kk, oo, v in rows if kk == k and oo >= o and v is not None]
+            assert got[o] == (following[0] if following else None)
 
 
 def test_hot_keys_and_spread_join(spark):

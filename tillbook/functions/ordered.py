@@ -2,9 +2,10 @@
 
 Two tools. For a unique integer id, rows are cut into blocks of consecutive ids;
 blocks are summed up into blocks of blocks until few remain, and what a block
-needs from its neighbours comes back down by joins. For any other order, rows are
-range partitioned and the partition number is the block; that cut depends on a
-sample, so it is made once and written to the checkpoint folder before it is used.
+needs from its neighbours comes back down by joins. For any other order within a
+key, an ordinary key is a plain window; the rows of a hot key are range partitioned
+and the partition number is the block. That cut depends on a sample, so it is made
+once and written to the shared folder before it is used.
 """
 
 from collections.abc import Sequence
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.functions.shared import checkpointed
+from tillbook.functions.shared import stored
 
 # 65,536 ids to a block; three levels leave at most 2**15 blocks for any 64-bit id.
 BLOCK_BITS = 16
@@ -103,62 +104,127 @@ def segmented(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds ``_seg``: as many consecutive, evenly filled ranges as there are shuffle partitions."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(parts, *order).withColumn("_seg", F.spark_partition_id())
-    return checkpointed(cut)
+    return stored(cut)
+
+
+def _split(df: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary keys and those of hot keys."""
+    if hot is None:
+        return df, None
+    names = [c for c in hot.columns if c != "_shares"]
+    listed = F.broadcast(hot.select(*names))
+    return df.join(listed, names, "left_anti"), df.join(listed, names, "left_semi")
 
 
 def prefix_sums(
     df: DataFrame,
-    key: str,
+    keys: Sequence[str],
     order: Sequence[str],
     value: str,
     per_key: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Running sums of a value per key.
+    """Running sums of a value per key, in an order that ends in a unique column.
 
     Adds ``running``, the sum up to and with the row; ``peak``, the highest running
     sum so far; ``peak_before``, the same without the row, NULL on the first one.
-    ``per_key`` may hold one row of further columns per key to bring along.
+    ``per_key`` may hold one row of further columns per key, or per first part of
+    it, to bring along. ``hot`` lists the keys to cut into segments.
+    """
+    keys = list(keys)
+    plain, large = _split(df, hot)
+    on = [k for k in keys if per_key is not None and k in per_key.columns]
+    if per_key is not None:
+        plain = plain.join(per_key, on, "left")
+    within = Window.partitionBy(*keys).orderBy(*order)
+    done = plain.withColumn("running", F.sum(value).over(within.rowsBetween(BEFORE, 0)))
+    done = done.withColumn("peak", F.max("running").over(within.rowsBetween(BEFORE, 0)))
+    done = done.withColumn("peak_before", F.lag("peak").over(within))
+    if large is None:
+        return done
+    return done.unionByName(_segment_sums(large, keys, order, value, per_key, on))
+
+
+def _segment_sums(
+    df: DataFrame,
+    keys: list[str],
+    order: Sequence[str],
+    value: str,
+    per_key: DataFrame | None,
+    on: list[str],
+) -> DataFrame:
+    """The same for hot keys: no task sees more of one than a segment.
 
-    The order must end in a unique column. A key of any size is cut at segment
-    borders, so no task sees more of it than one segment; between segments only
-    one row per (key, segment) travels.
+    Between segments only one row per (key, segment) travels.
     """
-    rows = segmented(df, [key, *order])
-    inside = Window.partitionBy("_seg", key).orderBy(*order)
+    rows = segmented(df, [*keys, *order])
+    inside = Window.partitionBy("_seg", *keys).orderBy(*order)
     rows = rows.withColumn("_run", F.sum(value).over(inside.rowsBetween(BEFORE, 0)))
     rows = rows.withColumn("_peak", F.max("_run").over(inside.rowsBetween(BEFORE, 0)))
     rows = rows.withColumn("_peak_before", F.lag("_peak").over(inside))
-    earlier = Window.partitionBy(key).orderBy("_seg").rowsBetween(BEFORE, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(BEFORE, -1)
     carried = (
-        rows.groupBy("_seg", key)
+        rows.groupBy("_seg", *keys)
         .agg(F.sum(value).alias("_sum"), F.max("_run").alias("_top"))
         .withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .withColumn("_base_peak", F.max(F.col("_base") + F.col("_top")).over(earlier))
         .drop("_sum", "_top")
     )
     if per_key is not None:
-        carried = carried.join(per_key, key, "left")
+        carried = carried.join(per_key, on, "left")
     return (
-        rows.join(carried, ["_seg", key])
-        .withColumn("running", F.col("_base") + F.col("_run"))
-        .withColumn("peak", F.greatest("_base_peak", F.col("_base") + F.col("_peak")))
-        .withColumn("peak_before", F.greatest("_base_peak", F.col("_base") + F.col("_peak_before")))
+        rows.join(carried, ["_seg", *keys])
+        .withColumns(
+            {
+                "running": F.col("_base") + F.col("_run"),
+                "peak": F.greatest("_base_peak", F.col("_base") + F.col("_peak")),
+                "peak_before": F.greatest("_base_peak", F.col("_base") + F.col("_peak_before")),
+            }
+        )
         .drop("_seg", "_run", "_peak", "_peak_before", "_base", "_base_peak")
     )
 
 
-def next_value(df: DataFrame, key: str, order: Sequence[str], value: str, alias: str) -> DataFrame:
+def next_value(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    alias: str,
+    hot: DataFrame | None = None,
+) -> DataFrame:
     """For each row the nearest non-null value at or after it within its key."""
-    rows = segmented(df, [key, *order])
-    ahead = Window.partitionBy("_seg", key).orderBy(*order).rowsBetween(0, AFTER)
-    rows = rows.withColumn("_near", F.first(value, ignorenulls=True).over(ahead))
-    first = Window.partitionBy(key).orderBy("_seg").rowsBetween(1, AFTER)
-    heads = rows.groupBy("_seg", key).agg(
-        F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_head")
+    keys = list(keys)
+    plain, large = _split(df, hot)
+    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, AFTER)
+    done = plain.withColumn(alias, F.first(value, ignorenulls=True).over(ahead))
+    if large is None:
+        return done
+    return done.unionByName(_segment_next(large, keys, order, value, alias))
+
+
+def _segment_next(
+    df: DataFrame, keys: list[str], order: Sequence[str], value: str, alias: str
+) -> DataFrame:
+    rows = segmented(df, [*keys, *order])
+    ahead = Window.partitionBy("_seg", *keys).orderBy(*order).rowsBetween(0, AFTER)
+    following = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(1, AFTER)
+    heads = (
+        rows.filter(F.col(value).isNotNull())
+        .groupBy("_seg", *keys)
+        .agg(F.min_by(value, F.struct(*order)).alias("_head"))
+    )
+    # Segments without a value still need what comes after them.
+    heads = (
+        rows.select("_seg", *keys)
+        .distinct()
+        .join(heads, ["_seg", *keys], "left")
+        .withColumn("_later", F.first("_head", ignorenulls=True).over(following))
+        .drop("_head")
     )
-    heads = heads.withColumn("_later", F.first("_head", ignorenulls=True).over(first)).drop("_head")
     return (
-        rows.join(heads, ["_seg", key])
+        rows.withColumn("_near", F.first(value, ignorenulls=True).over(ahead))
+        .join(heads, ["_seg", *keys])
         .withColumn(alias, F.coalesce("_near", "_later"))
         .drop("_seg", "_near", "_later")
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.shared import checkpointed
+from tillbook.functions.shared import stored
 
 # Below this many rows a key is never worth splitting.
 HOT_FLOOR = 10_000
@@ -22,7 +22,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR) -> Data
     """Hot keys with ``_shares``, the number of parts each is to be split into; None if there are none.
 
     The keys are counted right away, once, and the short list is kept in the
-    checkpoint folder, so that the plans built on it do not count again.
+    shared folder, so that the plans built on it do not count again.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -34,7 +34,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR) -> Data
         .filter(F.col("_n") > F.col("_share"))
         .select(*keys, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_shares"))
     )
-    hot = checkpointed(hot)
+    hot = stored(hot)
     return None if hot.isEmpty() else hot
 
 

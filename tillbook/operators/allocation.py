@@ -12,81 +12,66 @@ from pyspark.sql import functions as F
 from tillbook import schema as S
 from tillbook.functions.names import explode_ids
 from tillbook.functions.ordered import next_value, prefix_sums
+from tillbook.functions.spread import HOT_FLOOR, hot_keys
 from tillbook.operators.parties import unpaid_sales
 
 
-def allocate_repayments(t) -> DataFrame:
-    """All repayments of every customer over the customer's unpaid sales.
+TANK, PAYMENT = 0, 1
 
-    Paying in sequence fills the same invoices as paying the sum at once, so one
-    pass over the running sums gives the amounts. ``rdcID`` is the repayment that
-    filled the invoice: the first one whose own running sum reaches the invoice's.
-    """
-    payments = t.return_debt_customer.select("customerID", "rdcID", "createAt", "amountReturn")
-    money = payments.groupBy("customerID").agg(F.sum("amountReturn").alias("_money"))
-    tanks = prefix_sums(
-        unpaid_sales(t), "customerID", ["createAt", "invoiceID"], "total", per_key=money
-    )
-    full = F.coalesce(F.col("peak") <= F.col("_money"), F.lit(False))
-    reached = F.col("peak_before").isNull() | (F.col("peak_before") <= F.col("_money"))
-    left_over = F.coalesce(F.col("_money") - (F.col("running") - F.col("total")), F.lit(0))
-    tanks = tanks.withColumn("_full", full).withColumn(
-        "pays", F.when(F.col("_full"), F.col("total")).when(reached, left_over).otherwise(0)
-    )
-    filled = _filled_by(tanks.filter("_full"), payments)
-    done = filled.unionByName(tanks.filter("not _full"), allowMissingColumns=True)
-    return done.select(
-        "invoiceID",
-        "customerID",
-        F.col("total").alias("due"),
-        F.col("pays").cast(S.MONEY).alias("pays"),
-        (F.col("totalPay") + F.col("pays")).cast(S.MONEY).alias("totalPay"),
-        F.when(F.col("_full"), S.YES).otherwise(S.NO).alias("wasl"),
-        F.col("rdcID").cast("bigint").alias("rdcID"),
-    )
 
+def allocate_repayments(t, floor: int = HOT_FLOOR) -> DataFrame:
+    """All repayments of every customer over the customer's unpaid sales.
 
-def _filled_by(filled: DataFrame, payments: DataFrame) -> DataFrame:
-    """Adds the first repayment whose running sum reaches the invoice's highest one.
+    Paying in sequence fills the same invoices as paying the sum at once, so the
+    running sums give the amounts. ``rdcID`` is the repayment that filled the
+    invoice: the first one whose own running sum reaches the invoice's.
 
-    Payments and invoices are laid on one line per customer, ordered by their
-    sums; the next payment on the line is the one wanted.
+    Invoices and repayments get their running sums in one ordered pass. A second
+    one lays both on one line per customer by these sums; the next repayment on
+    the line is the one wanted. Both passes share one shuffle by customer, except
+    that customers with very many rows are cut into segments.
     """
-    paid = prefix_sums(payments, "customerID", ["createAt", "rdcID"], "amountReturn")
-    marks = paid.select(
-        "customerID",
-        F.col("running").cast(S.TOTAL).alias("_level"),
-        F.lit(1).alias("_kind"),
-        "createAt",
-        F.col("rdcID").alias("_id"),
-        "rdcID",
+    tanks = unpaid_sales(t).select(
+        "customerID", F.lit(TANK).alias("_kind"), "createAt", F.col("invoiceID").alias("_id"),
+        F.col("total").alias("_value"), "totalPay",
+    )
+    payments = t.return_debt_customer.select(
+        "customerID", F.lit(PAYMENT).alias("_kind"), "createAt", F.col("rdcID").alias("_id"),
+        F.col("amountReturn").alias("_value"), F.lit(None).cast(S.MONEY).alias("totalPay"),
     )
-    rows = filled.select(
+    money = t.return_debt_customer.groupBy("customerID").agg(F.sum("amountReturn").alias("_money"))
+    rows = tanks.unionByName(payments)
+    hot = hot_keys(rows, ["customerID"], floor)
+    summed = prefix_sums(
+        rows, ["customerID", "_kind"], ["createAt", "_id"], "_value", money, hot
+    )
+    reached = F.col("peak_before").isNull() | (F.col("peak_before") <= F.col("_money"))
+    left_over = F.coalesce(F.col("_money") - (F.col("running") - F.col("_value")), F.lit(0))
+    marked = summed.withColumn(
+        "_full", F.coalesce(F.col("peak") <= F.col("_money"), F.lit(False))
+    ).select(
         "customerID",
-        F.col("peak").cast(S.TOTAL).alias("_level"),
-        F.lit(0).alias("_kind"),
+        "_kind",
         "createAt",
-        F.col("invoiceID").alias("_id"),
-        F.lit(None).cast("bigint").alias("rdcID"),
-        "invoiceID",
-        "total",
+        "_id",
+        F.col("_value").alias("due"),
         "totalPay",
-        "pays",
-        "_full",
+        F.when(F.col("_full"), F.col("_value")).when(reached, left_over).otherwise(0).alias("pays"),
+        F.when(F.col("_full"), S.YES).otherwise(S.NO).alias("wasl"),
+        F.when(F.col("_kind") == TANK, F.col("peak")).otherwise(F.col("running")).alias("_level"),
+        F.when(F.col("_kind") == PAYMENT, F.col("_id")).alias("_payment"),
     )
-    line = marks.unionByName(rows, allowMissingColumns=True)
     line = next_value(
-        line, "customerID", ["_level", "_kind", "createAt", "_id"], "rdcID", "_filler"
+        marked, ["customerID"], ["_level", "_kind", "createAt", "_id"], "_payment", "_filler", hot
     )
-    return line.filter(F.col("_kind") == 0).select(
+    return line.filter(F.col("_kind") == TANK).select(
+        F.col("_id").alias("invoiceID"),
         "customerID",
-        "createAt",
-        "invoiceID",
-        "total",
-        "totalPay",
-        "pays",
-        "_full",
-        F.col("_filler").alias("rdcID"),
+        "due",
+        F.col("pays").cast(S.MONEY).alias("pays"),
+        (F.col("totalPay") + F.col("pays")).cast(S.MONEY).alias("totalPay"),
+        "wasl",
+        F.when(F.col("wasl") == S.YES, F.col("_filler")).alias("rdcID"),
     )
 
 

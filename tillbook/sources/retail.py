@@ -12,6 +12,22 @@ from tillbook import schema as S
 from tillbook.operators import posting
 from tillbook.sources.tables import Tables
 
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": """p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,
+        p_retailprice double""",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+        props string""",
+}
+
 COST = f"cast(cast(p_retailprice as decimal(12,2)) * cast(0.95 as decimal(4,2)) as {S.MONEY})"
 PRICE = (
     "cast(cast(p_retailprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2)))"
@@ -29,8 +45,12 @@ EXPIRY = "case when l_partkey % 7 = 0 then date_add(date '2000-01-01', p_size) e
 def load(spark: SparkSession, folder: str) -> Tables:
     """All shop tables over the Parquet files of a folder."""
 
+    read: dict[str, DataFrame] = {}
+
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        if name not in read:
+            read[name] = spark.read.schema(RAW[name]).parquet(f"{folder}/{name}.parquet")
+        return read[name]
 
     def rows(text: str) -> DataFrame:
         return spark.sql(f"select * from values {text}")

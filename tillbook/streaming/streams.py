@@ -13,16 +13,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tillbook import schema as S
 from tillbook.functions.shared import new_folder
-
-EVENTS = (
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-)
-
+from tillbook.sources.retail import RAW
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """The events of a folder as a stream. Watermarks need a zoned timestamp, so ``ts`` is cast."""
     return (
-        spark.readStream.schema(EVENTS)
+        spark.readStream.schema(RAW["events"])
         .option("pathGlobFilter", name)
         .parquet(folder)
         .withColumn("ts", F.col("ts").cast("timestamp"))
