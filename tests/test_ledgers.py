@@ -65,7 +65,7 @@ def test_tables_survive_storage(spark, t, tmp_path):
 
 def test_ledger_by_day_prunes_partitions(spark, t, tmp_path):
     path = str(tmp_path / "stock")
-    tables.write_ledger(t.stock, path, files_per_day=2)
+    tables.write_ledger(t.stock, path)
     back = tables.read_ledger(spark, path)
     assert back.count() == t.stock.count()
     one_day = back.filter(F.col("day") == dt.date(1998, 6, 10))
@@ -73,6 +73,21 @@ def test_ledger_by_day_prunes_partitions(spark, t, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in explained(one_day)
 
 
+def test_busy_day_is_split(spark, tmp_path):
+    path = str(tmp_path / "busy")
+    day = "case when id % 3 = 0 then timestamp_ntz '2020-01-01' else timestamp_ntz '2020-01-02' + make_dt_interval(cast(id % 50 as int)) end"
+    rows = spark.range(60_000).selectExpr("id", "hex(id * id) filler", f"{day} createAt")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100kb")
+    try:
+        tables.write_ledger(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = spark.read.parquet(path).select("day", F.input_file_name().alias("f")).distinct()
+    per_day = {r["day"]: r["count"] for r in dicts(files.groupBy("day").count())}
+    assert per_day[dt.date(2020, 1, 1)] > 1
+    assert tables.read_ledger(spark, path).count() == 60_000
+
+
 def test_stored_columns_are_conformed(spark):
     df = spark.createDataFrame(
         [(1, 2, 3.5, 4, "secret")],

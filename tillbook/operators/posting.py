@@ -9,19 +9,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
-from tillbook.functions.money import to_dollars
+from tillbook.functions.money import in_dollars, to_dollars
 from tillbook.functions.names import explode_ids, name_key
 
 # Note texts the shop prints on cash rows.
 PURCHASE_NOTE = "کڕینی کاڵا لە بە ژمارە وەصڵی"
 EXPENSE_NOTE = "خەرجی"
 
-STOCK = ["sourceID", "sourceType", "itemID", "qty", "itemPrice", "costPrice", "expiryDate", "createAt"]
-BOX = ["shelfID", "sourceID", "amount", "amountIQD", "type", "note", "userID", "createAt"]
-PARTY = [
-    "sourceID", "sourceType", "accountID", "accountType", "accountName", "totalPrice", "totalPay",
-    "totalPayIQD", "transactionType", "userID", "createAt",
-]
+STOCK = {
+    "sourceID": "bigint",
+    "sourceType": "string",
+    "itemID": "bigint",
+    "qty": "int",
+    "itemPrice": S.MONEY,
+    "costPrice": S.MONEY,
+    "expiryDate": "date",
+    "createAt": "timestamp_ntz",
+}
+BOX = {
+    "shelfID": "bigint",
+    "sourceID": "bigint",
+    "amount": S.MONEY,
+    "amountIQD": S.IQD,
+    "type": "string",
+    "note": "string",
+    "userID": "bigint",
+    "createAt": "timestamp_ntz",
+}
+PARTY = {
+    "sourceID": "bigint",
+    "sourceType": "string",
+    "accountID": "bigint",
+    "accountType": "string",
+    "accountName": "string",
+    "totalPrice": S.MONEY,
+    "totalPay": S.CONVERTED,
+    "totalPayIQD": S.IQD,
+    "transactionType": "string",
+    "userID": "bigint",
+    "createAt": "timestamp_ntz",
+}
+
+
+def _posted(df: DataFrame, ledger: dict[str, str], **columns: Column) -> DataFrame:
+    """Ledger rows: the given columns, the rest taken over under their own name."""
+    return df.select(
+        *[columns.get(name, F.col(name)).cast(kind).alias(name) for name, kind in ledger.items()]
+    )
 
 
 def _turned(condition: Column, value: Column) -> Column:
@@ -29,48 +63,6 @@ def _turned(condition: Column, value: Column) -> Column:
     return F.when(condition, -value).otherwise(value)
 
 
-def _stock(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("sourceID"),
-        F.col("sourceType"),
-        F.col("itemID"),
-        F.col("qty").cast("int").alias("qty"),
-        F.col("itemPrice").cast(S.MONEY).alias("itemPrice"),
-        F.col("costPrice").cast(S.MONEY).alias("costPrice"),
-        F.col("expiryDate").cast("date").alias("expiryDate"),
-        F.col("createAt"),
-    )
-
-
-def _box(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("shelfID").cast("bigint").alias("shelfID"),
-        F.col("sourceID"),
-        F.col("amount").cast(S.MONEY).alias("amount"),
-        F.col("amountIQD").cast(S.IQD).alias("amountIQD"),
-        F.col("type"),
-        F.col("note").cast("string").alias("note"),
-        F.col("userID"),
-        F.col("createAt"),
-    )
-
-
-def _party(df: DataFrame) -> DataFrame:
-    return df.select(
-        F.col("sourceID"),
-        F.col("sourceType"),
-        F.col("accountID"),
-        F.col("accountType"),
-        F.col("accountName"),
-        F.col("totalPrice").cast(S.MONEY).alias("totalPrice"),
-        F.col("totalPay").cast(S.CONVERTED).alias("totalPay"),
-        F.col("totalPayIQD").cast(S.IQD).alias("totalPayIQD"),
-        F.col("transactionType"),
-        F.col("userID"),
-        F.col("createAt"),
-    )
-
-
 def _sold(t) -> DataFrame:
     return t.invoices.filter(F.col("sellStatus") == S.YES)
 
@@ -83,12 +75,13 @@ def post_sales_stock(t) -> DataFrame:
     """
     heads = _sold(t).select("invoiceID", F.col("stockType").alias("sourceType"), "createAt")
     sale = F.col("sourceType") == S.SALE
-    return _stock(
-        t.invoice_item.join(heads, "invoiceID")
-        .withColumn("sourceID", F.col("invoiceID"))
-        .withColumn("qty", _turned(sale, F.col("qty")))
-        .withColumn("itemPrice", F.col("productPrice"))
-        .withColumn("expiryDate", F.when(~sale, F.col("expiryDate")))
+    return _posted(
+        t.invoice_item.join(heads, "invoiceID"),
+        STOCK,
+        sourceID=F.col("invoiceID"),
+        qty=_turned(sale, F.col("qty")),
+        itemPrice=F.col("productPrice"),
+        expiryDate=F.when(~sale, F.col("expiryDate")),
     )
 
 
@@ -98,23 +91,19 @@ def post_sales_box(
     """One cash row per closed invoice: in for a sale, out for a return."""
     names = t.customers.select("customerID", "customerName")
     back = F.col("stockType") != S.SALE
-    note = F.when(
-        back, F.concat_ws(" ", F.lit(return_note), F.col("customerName"))
-    ).otherwise(
-        F.concat_ws(
-            " ", F.lit(sale_note), F.col("customerName"), F.lit(invoice_word), F.col("invoiceID")
-        )
-    )
-    return _box(
-        _sold(t)
-        .join(names, "customerID", "left")
-        .withColumn("shelfID", F.lit(S.MAIN_SHELF))
-        .withColumn("sourceID", F.col("invoiceID"))
-        .withColumn("amount", _turned(back, F.col("initialPay")))
-        .withColumn("amountIQD", _turned(back, F.col("totalPayIQD")))
-        .withColumn("type", F.col("stockType"))
-        .withColumn("note", F.trim(note))
-        .withColumn("userID", F.col("userIDUpdate"))
+    name = F.col("customerName")
+    sale_text = F.concat_ws(" ", F.lit(sale_note), name, F.lit(invoice_word), F.col("invoiceID"))
+    note = F.when(back, F.concat_ws(" ", F.lit(return_note), name)).otherwise(sale_text)
+    return _posted(
+        _sold(t).join(names, "customerID", "left"),
+        BOX,
+        shelfID=F.lit(S.MAIN_SHELF),
+        sourceID=F.col("invoiceID"),
+        amount=_turned(back, F.col("initialPay")),
+        amountIQD=_turned(back, F.col("totalPayIQD")),
+        type=F.col("stockType"),
+        note=F.trim(note),
+        userID=F.col("userIDUpdate"),
     )
 
 
@@ -123,45 +112,48 @@ def post_sales_account(t) -> DataFrame:
     names = t.customers.select("customerID", "customerName")
     sale = F.col("stockType") == S.SALE
     paid = to_dollars(F.col("initialPay"), F.col("totalPayIQD"), F.col("dollarPrice"))
-    return _party(
-        _sold(t)
-        .filter(F.col("customerID") != S.WALK_IN)
-        .join(names, "customerID", "left")
-        .withColumn("sourceID", F.col("invoiceID"))
-        .withColumn("sourceType", F.col("stockType"))
-        .withColumn("accountID", F.col("customerID"))
-        .withColumn("accountType", F.lit(S.CUSTOMER))
-        .withColumn("accountName", F.col("customerName"))
-        .withColumn("totalPay", F.when(sale, paid).otherwise(0))
-        .withColumn("totalPrice", _turned(sale, F.col("totalPrice")))
-        .withColumn("transactionType", F.col("invoiceType"))
-        .withColumn("userID", F.col("userIDUpdate"))
+    known = _sold(t).filter(F.col("customerID") != S.WALK_IN)
+    return _posted(
+        known.join(names, "customerID", "left"),
+        PARTY,
+        sourceID=F.col("invoiceID"),
+        sourceType=F.col("stockType"),
+        accountID=F.col("customerID"),
+        accountType=F.lit(S.CUSTOMER),
+        accountName=F.col("customerName"),
+        totalPrice=_turned(sale, F.col("totalPrice")),
+        totalPay=F.when(sale, paid).otherwise(0),
+        transactionType=F.col("invoiceType"),
+        userID=F.col("userIDUpdate"),
     )
 
 
 def post_purchase_stock(t) -> DataFrame:
     """Purchase lines as stock rows without a sale price; returns go out."""
     heads = t.purchases.select("purchaseID", F.col("stockType").alias("sourceType"), "createAt")
-    return _stock(
-        t.purchase_items.join(heads, "purchaseID")
-        .withColumn("sourceID", F.col("purchaseID"))
-        .withColumn("qty", _turned(F.col("sourceType") != S.PURCHASE, F.col("qty")))
-        .withColumn("itemPrice", F.lit(0))
-        .withColumn("expiryDate", F.lit(None))
+    return _posted(
+        t.purchase_items.join(heads, "purchaseID"),
+        STOCK,
+        sourceID=F.col("purchaseID"),
+        qty=_turned(F.col("sourceType") != S.PURCHASE, F.col("qty")),
+        itemPrice=F.lit(0),
+        expiryDate=F.lit(None),
     )
 
 
 def post_purchase_box(t) -> DataFrame:
     """Money paid for a purchase leaves the box; money for a return comes in."""
     out = F.col("stockType") == S.PURCHASE
-    return _box(
-        t.purchases.withColumn("shelfID", F.lit(S.MAIN_SHELF))
-        .withColumn("sourceID", F.col("purchaseID"))
-        .withColumn("amount", _turned(out, F.col("amountPay")))
-        .withColumn("amountIQD", _turned(out, F.col("amountPayIQD")))
-        .withColumn("type", F.col("stockType"))
-        .withColumn("note", F.concat_ws(" ", F.lit(PURCHASE_NOTE), F.col("referenceNo")))
-        .withColumn("userID", F.col("userIDCreated"))
+    return _posted(
+        t.purchases,
+        BOX,
+        shelfID=F.lit(S.MAIN_SHELF),
+        sourceID=F.col("purchaseID"),
+        amount=_turned(out, F.col("amountPay")),
+        amountIQD=_turned(out, F.col("amountPayIQD")),
+        type=F.col("stockType"),
+        note=F.concat_ws(" ", F.lit(PURCHASE_NOTE), F.col("referenceNo")),
+        userID=F.col("userIDCreated"),
     )
 
 
@@ -170,18 +162,19 @@ def post_purchase_account(t) -> DataFrame:
     names = t.suppliers.select("supplierID", "supplierName")
     bought = F.col("stockType") == S.PURCHASE
     paid = to_dollars(F.col("amountPay"), F.col("amountPayIQD"), F.col("dollarPrice"))
-    return _party(
-        t.purchases.join(names, "supplierID", "left")
-        .withColumn("sourceID", F.col("purchaseID"))
-        .withColumn("sourceType", F.col("stockType"))
-        .withColumn("accountID", F.col("supplierID"))
-        .withColumn("accountType", F.lit(S.SUPPLIER))
-        .withColumn("accountName", F.col("supplierName"))
-        .withColumn("totalPay", F.when(bought, paid).otherwise(0))
-        .withColumn("totalPrice", _turned(~bought, F.col("totalPrice")))
-        .withColumn("totalPayIQD", F.col("amountPayIQD"))
-        .withColumn("transactionType", F.col("paymentType"))
-        .withColumn("userID", F.col("userIDCreated"))
+    return _posted(
+        t.purchases.join(names, "supplierID", "left"),
+        PARTY,
+        sourceID=F.col("purchaseID"),
+        sourceType=F.col("stockType"),
+        accountID=F.col("supplierID"),
+        accountType=F.lit(S.SUPPLIER),
+        accountName=F.col("supplierName"),
+        totalPrice=_turned(~bought, F.col("totalPrice")),
+        totalPay=F.when(bought, paid).otherwise(0),
+        totalPayIQD=F.col("amountPayIQD"),
+        transactionType=F.col("paymentType"),
+        userID=F.col("userIDCreated"),
     )
 
 
@@ -190,40 +183,43 @@ def post_disposal(t) -> DataFrame:
 
     The sale price is taken as zero, so that a disposal counts as a loss of its cost.
     """
-    return _stock(
-        t.disposals.withColumn("sourceID", F.col("disposalID"))
-        .withColumn("sourceType", F.lit(S.DISPOSAL))
-        .withColumn("qty", -F.col("qty"))
-        .withColumn("itemPrice", F.lit(0))
+    return _posted(
+        t.disposals,
+        STOCK,
+        sourceID=F.col("disposalID"),
+        sourceType=F.lit(S.DISPOSAL),
+        qty=-F.col("qty"),
+        itemPrice=F.lit(0),
     )
 
 
 def post_opening(t) -> DataFrame:
     """Debts and balances partners brought along when they were entered."""
-    customers = (
-        t.customers.withColumn("sourceID", F.col("customerID"))
-        .withColumn("sourceType", F.lit(S.OPENING_CUSTOMER))
-        .withColumn("accountType", F.lit(S.CUSTOMER))
-        .withColumn("accountName", F.col("customerName"))
-        .withColumn("totalPrice", -F.col("previousDebt"))
-    )
-    suppliers = (
-        t.suppliers.withColumn("sourceID", F.col("supplierID"))
-        .withColumn("sourceType", F.lit(S.OPENING_SUPPLIER))
-        .withColumn("accountType", F.lit(S.SUPPLIER))
-        .withColumn("accountName", F.col("supplierName"))
-        .withColumn("totalPrice", F.col("previousBalance"))
-    )
 
-    def opened(df: DataFrame) -> DataFrame:
-        return _party(
-            df.withColumn("accountID", F.col("sourceID"))
-            .withColumn("totalPay", F.lit(0))
-            .withColumn("totalPayIQD", F.lit(0))
-            .withColumn("transactionType", F.lit(S.DEBT))
+    def opened(df, key: str, name: str, code: str, account: str, amount: Column) -> DataFrame:
+        return _posted(
+            df,
+            PARTY,
+            sourceID=F.col(key),
+            sourceType=F.lit(code),
+            accountID=F.col(key),
+            accountType=F.lit(account),
+            accountName=F.col(name),
+            totalPrice=amount,
+            totalPay=F.lit(0),
+            totalPayIQD=F.lit(0),
+            transactionType=F.lit(S.DEBT),
         )
 
-    return opened(customers).unionByName(opened(suppliers))
+    customers = opened(
+        t.customers, "customerID", "customerName", S.OPENING_CUSTOMER, S.CUSTOMER,
+        -F.col("previousDebt"),
+    )
+    suppliers = opened(
+        t.suppliers, "supplierID", "supplierName", S.OPENING_SUPPLIER, S.SUPPLIER,
+        F.col("previousBalance"),
+    )
+    return customers.unionByName(suppliers)
 
 
 def post_repayment_account(t) -> DataFrame:
@@ -232,17 +228,18 @@ def post_repayment_account(t) -> DataFrame:
     ``amountReturn`` is stored with the second currency added and the discount taken off.
     """
     names = t.suppliers.select("supplierID", "supplierName")
-    return _party(
-        t.return_debt.join(names, "supplierID", "left")
-        .withColumn("sourceID", F.col("rdID"))
-        .withColumn("sourceType", F.lit(S.REPAY_SUPPLIER))
-        .withColumn("accountID", F.col("supplierID"))
-        .withColumn("accountType", F.lit(S.SUPPLIER))
-        .withColumn("accountName", F.col("supplierName"))
-        .withColumn("totalPrice", -F.col("amountReturn"))
-        .withColumn("totalPay", F.lit(0))
-        .withColumn("totalPayIQD", F.lit(0))
-        .withColumn("transactionType", F.lit(S.REPAYMENT))
+    return _posted(
+        t.return_debt.join(names, "supplierID", "left"),
+        PARTY,
+        sourceID=F.col("rdID"),
+        sourceType=F.lit(S.REPAY_SUPPLIER),
+        accountID=F.col("supplierID"),
+        accountType=F.lit(S.SUPPLIER),
+        accountName=F.col("supplierName"),
+        totalPrice=-F.col("amountReturn"),
+        totalPay=F.lit(0),
+        totalPayIQD=F.lit(0),
+        transactionType=F.lit(S.REPAYMENT),
     )
 
 
@@ -253,16 +250,15 @@ def post_repayment_box(t, note: str = "") -> DataFrame:
     handed over are won back from it.
     """
     names = t.suppliers.select("supplierID", "supplierName")
-    iqd_part = F.when(F.col("amountReturnIQD") == 0, F.lit(0)).otherwise(
-        F.try_divide(F.col("amountReturnIQD"), F.col("dollarPrice"))
-    )
-    return _box(
-        t.return_debt.join(names, "supplierID", "left")
-        .withColumn("sourceID", F.col("rdID"))
-        .withColumn("amount", -(F.col("amountReturn") + F.col("discount") - iqd_part))
-        .withColumn("amountIQD", -F.col("amountReturnIQD"))
-        .withColumn("type", F.lit(S.REPAY_SUPPLIER))
-        .withColumn("note", F.trim(F.concat_ws(" ", F.lit(note), F.col("supplierName"))))
+    iqd_part = in_dollars(F.col("amountReturnIQD"), F.col("dollarPrice"))
+    return _posted(
+        t.return_debt.join(names, "supplierID", "left"),
+        BOX,
+        sourceID=F.col("rdID"),
+        amount=-(F.col("amountReturn") + F.col("discount") - iqd_part),
+        amountIQD=-F.col("amountReturnIQD"),
+        type=F.lit(S.REPAY_SUPPLIER),
+        note=F.trim(F.concat_ws(" ", F.lit(note), F.col("supplierName"))),
     )
 
 
@@ -279,30 +275,26 @@ def purchases_after_repayment(t) -> DataFrame:
 
 def post_expense(t) -> DataFrame:
     """Expenses leave the box of their shelf in both currencies."""
-    return _box(
-        t.expenses.withColumn("sourceID", F.col("expenseID"))
-        .withColumn("amount", -F.col("priceExpenseUSD"))
-        .withColumn("amountIQD", -F.col("priceExpenseIQD"))
-        .withColumn("type", F.lit(S.EXPENSE))
-        .withColumn("note", F.coalesce(F.col("note"), F.lit(EXPENSE_NOTE)))
-        .withColumn("userID", F.col("userIDCreated"))
+    return _posted(
+        t.expenses,
+        BOX,
+        sourceID=F.col("expenseID"),
+        amount=-F.col("priceExpenseUSD"),
+        amountIQD=-F.col("priceExpenseIQD"),
+        type=F.lit(S.EXPENSE),
+        note=F.coalesce(F.col("note"), F.lit(EXPENSE_NOTE)),
+        userID=F.col("userIDCreated"),
     )
 
 
 def post_cash(t) -> DataFrame:
     """Manual cash entries: money in as given, an exchange as given, anything else out."""
     as_given = F.col("type").isin(S.CASH_IN, S.EXCHANGE)
-    entries = t.cash_entries
-    return entries.select(
-        "btID",
-        "shelfID",
-        "sourceID",
-        _turned(~as_given, F.col("amount")).cast(S.MONEY).alias("amount"),
-        _turned(~as_given, F.col("amountIQD")).cast(S.IQD).alias("amountIQD"),
-        "type",
-        "note",
-        "userID",
-        "createAt",
+    return _posted(
+        t.cash_entries,
+        {"btID": "bigint", **BOX},
+        amount=_turned(~as_given, F.col("amount")),
+        amountIQD=_turned(~as_given, F.col("amountIQD")),
     )
 
 
@@ -323,7 +315,7 @@ def party_ledger(t) -> DataFrame:
 
 def box_ledger(t) -> DataFrame:
     """The whole cash ledger, rebuilt from documents."""
-    manual = post_cash(t).select(*BOX)
+    manual = post_cash(t).drop("btID")
     return (
         post_sales_box(t)
         .unionByName(post_purchase_box(t))

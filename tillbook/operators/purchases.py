@@ -9,7 +9,7 @@ from tillbook.functions.dates import Day, in_days, on_day
 from tillbook.functions.documents import nested
 
 # Up to this many rows a page is a cheap top-k; a deeper one is found by rank.
-SHALLOW = 10_000
+SHALLOW = 1_000
 
 
 def _supplied(t, purchases: DataFrame) -> DataFrame:

@@ -96,16 +96,16 @@ def conformed(df: DataFrame, name: str) -> DataFrame:
     return df.select(*columns)
 
 
-def write_ledger(df: DataFrame, path: str, day_of: str = "createAt", files_per_day: int = 8) -> None:
+def write_ledger(df: DataFrame, path: str, day_of: str = "createAt") -> None:
     """Stores a ledger partitioned by day.
 
-    A day is dealt out over a fixed number of files, so neither a busy day nor a
-    long history ends in one task or in a flood of small files.
+    Rows are rebalanced by day: the adaptive planner splits a busy day over several
+    tasks and puts quiet days together, so neither ends in one huge file or in a
+    flood of small ones.
     """
-    deal = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
     (
         df.withColumn("day", F.to_date(day_of))
-        .repartition("day", deal)
+        .hint("rebalance", "day")
         .write.mode("overwrite")
         .partitionBy("day")
         .parquet(path)
