@@ -258,16 +258,16 @@ def load(spark: SparkSession, folder: str) -> Tables:
         supplier = f"case when {IS_PURCHASE} then l_suppkey end"
         moved = (
             raw("lineitem")
+            .filter("l_returnflag in ('N', 'R', 'A')")
             .selectExpr(
                 "l_orderkey",
                 "l_partkey",
                 f"case when {IS_SALE} then 1 when {IS_DISPOSAL} then 2"
-                f" when {IS_PURCHASE} then 3 end kind",
+                " else 3 end kind",
                 f"{supplier} l_suppkey",
                 "cast(l_quantity as int) qty",
                 "l_discount",
             )
-            .filter("kind is not null")
             .groupBy("l_orderkey", "l_partkey", "kind", "l_suppkey")
             .agg(F.sum("qty").cast("int").alias("qty"), F.min("l_discount").alias("l_discount"))
         )
