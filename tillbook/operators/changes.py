@@ -4,7 +4,7 @@ Every log carries ``seq``, a bigint that grows with time; within a key the highe
 one is the later change.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,38 +150,74 @@ def document_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def repost(ledger: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+def repost(
+    ledger: DataFrame, changed: DataFrame, fresh: DataFrame, type_column: str = "sourceType"
+) -> DataFrame:
     """A ledger with all rows of changed documents replaced.
 
-    ``changed`` holds distinct (sourceID, sourceType); a deleted document simply
-    has no fresh rows.
+    ``changed`` holds distinct (sourceID, type); a deleted document simply has no
+    fresh rows.
+    """
+    keys = ["sourceID", type_column]
+    return ledger.join(changed.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
+def repost_documents(
+    t,
+    log: DataFrame,
+    table: str,
+    key: str,
+    post: Callable[..., DataFrame],
+    ledger: DataFrame,
+    types: Sequence[str],
+    type_column: str = "sourceType",
+) -> DataFrame:
+    """A ledger after a log of changes to one kind of document.
+
+    The log starts with the inserts the ledger already knows. Only changed
+    documents are folded and posted again. An edit may move a document to another
+    type, so its old rows go under every type it may have had.
     """
-    keys = ["sourceID", "sourceType"]
-    kept = ledger.join(changed.select(*keys), keys, "left_anti")
-    return kept.unionByName(fresh)
+    changed = log.filter(F.col("op") != INSERT).select(key).distinct()
+    columns = [c for c in getattr(t, table).columns if c != key]
+    current = apply_changes(log.join(changed, key, "left_semi"), key, columns)
+    removed = changed.select(
+        F.col(key).alias("sourceID"),
+        F.explode(F.array(*[F.lit(code) for code in types])).alias(type_column),
+    )
+    return repost(ledger, removed, post(t.replaced(**{table: current})), type_column)
+
+
+SALES = (S.SALE, S.SALE_RETURN)
 
 
 def repost_invoices(t, log: DataFrame) -> DataFrame:
-    """The stock ledger after a log of invoice changes.
+    """The stock ledger after a log of invoice changes."""
+    return repost_documents(
+        t, log, "invoices", "invoiceID", posting.post_sales_stock, t.stock, SALES
+    )
 
-    The log starts with the inserts. An edit may turn a sale into a return, so
-    rows of a changed invoice are removed under both types.
-    """
-    columns = [c for c in t.invoices.columns if c != "invoiceID"]
-    changed = (
-        log.filter(F.col("op") != INSERT)
-        .select(F.col("invoiceID"))
-        .distinct()
+
+def repost_invoice_accounts(t, log: DataFrame) -> DataFrame:
+    """The party ledger after a log of invoice changes."""
+    return repost_documents(
+        t, log, "invoices", "invoiceID", posting.post_sales_account, t.transactions, SALES
     )
-    current = apply_changes(
-        log.join(changed, "invoiceID", "left_semi"), "invoiceID", columns
+
+
+def repost_invoice_cash(t, log: DataFrame) -> DataFrame:
+    """The cash ledger after a log of invoice changes, returns included."""
+    return repost_documents(
+        t, log, "invoices", "invoiceID", posting.post_sales_box, posting.box_ledger(t), SALES, "type"
     )
-    both = changed.select(
-        F.col("invoiceID").alias("sourceID"),
-        F.explode(F.array(F.lit(S.SALE), F.lit(S.SALE_RETURN))).alias("sourceType"),
+
+
+def repost_expenses(t, log: DataFrame) -> DataFrame:
+    """The cash ledger after a log of expense changes; a deleted expense gives its money back."""
+    return repost_documents(
+        t, log, "expenses", "expenseID", posting.post_expense, posting.box_ledger(t),
+        (S.EXPENSE,), "type",
     )
-    fresh = posting.post_sales_stock(t.replaced(invoices=current))
-    return repost(t.stock, both, fresh)
 
 
 def listed_invoices(t) -> DataFrame:

@@ -6,6 +6,8 @@ Shop tables are common table expressions; a query names the ones it reads and
 
 import re
 
+from tillbook.operators.posting import EXPENSE_NOTE, PURCHASE_NOTE
+
 M = "decimal(18,4)"
 T = "decimal(28,4)"
 C = "decimal(28,6)"
@@ -176,6 +178,28 @@ TABLES = {
         supplierName accountName, cast(-amountReturn as {M}) totalPrice, cast(0 as {C}) totalPay,
         cast(0 as decimal(18,2)) totalPayIQD, 'rd' transactionType, return_debt.userID,
         return_debt.createAt from return_debt left join suppliers using (supplierID)""",
+    "sales_box": f"""select cast(1 as bigint) shelfID, invoiceID sourceID,
+        cast(case when stockType = 's' then initialPay else -initialPay end as {M}) amount,
+        cast(case when stockType = 's' then totalPayIQD else -totalPayIQD end as decimal(18,2)) amountIQD,
+        stockType "type", case when stockType = 's' then concat_ws(' ', '', customerName, '',
+            invoiceID) else concat_ws(' ', '', customerName) end note,
+        userIDUpdate userID, invoices.createAt
+        from invoices left join customers using (customerID) where sellStatus = '1'""",
+    "purchase_box": f"""select cast(1 as bigint) shelfID, purchaseID sourceID,
+        cast(case when stockType = 'p' then -amountPay else amountPay end as {M}) amount,
+        cast(case when stockType = 'p' then -amountPayIQD else amountPayIQD end as decimal(18,2)) amountIQD,
+        stockType "type", concat('{PURCHASE_NOTE} ', referenceNo) note, userIDCreated userID,
+        createAt from purchases""",
+    "repayment_box": f"""select shelfID, rdID sourceID, cast(-(amountReturn + discount) as {M}) amount,
+        cast(-amountReturnIQD as decimal(18,2)) amountIQD, 'rdp' "type",
+        supplierName note, r.userID, r.createAt
+        from return_debt r left join suppliers using (supplierID)""",
+    "expense_box": f"""select shelfID, expenseID sourceID, cast(-priceExpenseUSD as {M}) amount,
+        cast(-priceExpenseIQD as decimal(18,2)) amountIQD, 'exp' "type",
+        coalesce(note, '{EXPENSE_NOTE}') note, userIDCreated userID, createAt from expenses""",
+    "box": """select * replace (trim(note) as note) from sales_box union all select * from purchase_box
+        union all select * from repayment_box union all select * from expense_box
+        union all select * exclude (btID) from box_transaction""",
     "transactions": """select * from sales_account union all select * from purchase_account
         union all select * from opening union all select * from repayment_account""",
     "customer_accounts": f"""select customerID, customerName, previousDebt,

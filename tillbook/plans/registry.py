@@ -642,15 +642,7 @@ add(
 )
 add("post_sales_account", posting.post_sales_account, "select * from sales_account")
 add("post_purchase_stock", posting.post_purchase_stock, "select * from purchase_stock")
-add(
-    "post_purchase_box",
-    posting.post_purchase_box,
-    f"""select cast(1 as bigint) shelfID, purchaseID sourceID,
-        cast(case when stockType = 'p' then -amountPay else amountPay end as {M}) amount,
-        cast(case when stockType = 'p' then -amountPayIQD else amountPayIQD end as decimal(18,2)) amountIQD,
-        stockType "type", concat('{posting.PURCHASE_NOTE} ', referenceNo) note, userIDCreated userID,
-        createAt from purchases""",
-)
+add("post_purchase_box", posting.post_purchase_box, "select * from purchase_box")
 add("post_purchase_account", posting.post_purchase_account, "select * from purchase_account")
 add("post_disposal", posting.post_disposal, "select * from disposal_stock")
 add("post_opening", posting.post_opening, "select * from opening")
@@ -670,13 +662,10 @@ add(
         select cast(unnest(string_split(purchaseNumbers, ',')) as bigint) from return_debt
         where purchaseNumbers is not null) then '1' else debtStatus end debtStatus from purchases""",
 )
-add(
-    "post_expense",
-    posting.post_expense,
-    f"""select shelfID, expenseID sourceID, cast(-priceExpenseUSD as {M}) amount,
-        cast(-priceExpenseIQD as decimal(18,2)) amountIQD, 'exp' "type",
-        coalesce(note, '{posting.EXPENSE_NOTE}') note, userIDCreated userID, createAt from expenses""",
-)
+add("post_expense", posting.post_expense, "select * from expense_box")
+add("box_ledger", posting.box_ledger, "select * from box")
+add("stock_ledger", posting.stock_ledger, "select * from stock")
+add("party_ledger", posting.party_ledger, "select * from transactions")
 add("post_cash", posting.post_cash, "select * from box_transaction")
 add(
     "sales_by_shelf",
@@ -872,6 +861,45 @@ add(
     where sellStatus = '1'""",
 )
 
+EDITED = "select o_orderkey from orders where o_orderpriority = '3-MEDIUM'"
+EDITED_HEADS = """select invoices.* replace (cast(totalPrice * 2 as decimal(18,4)) as totalPrice,
+        totalPrice as initialPay, case when invoiceID % 2 = 0 then 'rs' else stockType end as stockType)
+    from invoices join orders on o_orderkey = invoiceID
+    where o_orderpriority = '3-MEDIUM' and o_orderstatus <> 'P' and sellStatus = '1'"""
+add(
+    "repost_invoice_accounts",
+    lambda t: changes.repost_invoice_accounts(t, t.invoice_log),
+    f"""select * from transactions where not (sourceType in ('s', 'rs') and sourceID in ({EDITED}))
+    union all
+    select invoiceID, stockType, customerID, 'c', customerName,
+        cast(case when stockType = 's' then -totalPrice else totalPrice end as {M}),
+        cast(case when stockType = 's' then initialPay + totalPayIQD * cast(0.001 as decimal(4,3))
+            else 0 end as {C}), totalPayIQD, invoiceType, userIDUpdate, edited.createAt
+    from edited join customers using (customerID) where customerID <> 1""",
+    edited=EDITED_HEADS,
+)
+add(
+    "repost_invoice_cash",
+    lambda t: changes.repost_invoice_cash(t, t.invoice_log),
+    f"""select * from box where not ("type" in ('s', 'rs') and sourceID in ({EDITED}))
+    union all
+    select cast(1 as bigint), invoiceID,
+        cast(case when stockType = 's' then initialPay else -initialPay end as {M}),
+        cast(case when stockType = 's' then totalPayIQD else -totalPayIQD end as decimal(18,2)), stockType,
+        case when stockType = 's' then concat(customerName, '  ', invoiceID) else customerName end,
+        userIDUpdate, edited.createAt from edited left join customers using (customerID)""",
+    edited=EDITED_HEADS,
+)
+add(
+    "repost_expenses",
+    lambda t: changes.repost_expenses(t, t.expense_log),
+    f"""select * replace (cast(case when "type" = 'exp' and value < 10 then -3 * v.amount
+        else box.amount end as {M}) as amount) from box
+    left join (select event_id, value, amount from valued where event_type = 'error') v
+        on "type" = 'exp' and event_id = sourceID
+    where value is null or value <= 50""".replace("select * replace", "select box.* replace"),
+)
+
 # --- Streams ---------------------------------------------------------------------
 
 

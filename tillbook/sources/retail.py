@@ -454,6 +454,22 @@ def load(spark: SparkSession, folder: str) -> Tables:
         )
         return created.unionByName(edited, allowMissingColumns=True)
 
+    def expense_log(t: Tables):
+        created = t.expenses.withColumn("seq", F.lit(0).cast("bigint")).withColumn(
+            "op", F.lit("insert")
+        )
+        edited = (
+            events("error")
+            .filter("value < 10 or value > 50")
+            .selectExpr(
+                "event_id expenseID",
+                "1L seq",
+                "case when value > 50 then 'delete' else 'patch' end op",
+                f"cast({VALUE} * 3 as {S.MONEY}) priceExpenseUSD",
+            )
+        )
+        return created.unionByName(edited, allowMissingColumns=True)
+
     def search_terms(_):
         return raw("part").selectExpr(
             """case when p_partkey % 2 = 0 then concat('p', p_partkey)
@@ -490,6 +506,7 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "line_events": line_events,
             "customer_log": customer_log,
             "invoice_log": invoice_log,
+            "expense_log": expense_log,
             "search_terms": search_terms,
         }
     )
