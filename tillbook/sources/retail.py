@@ -187,25 +187,25 @@ def load(spark: SparkSession, folder: str) -> Tables:
             f"{EXPIRY} expiryDate",
         )
 
+    # Orders are joined before lines are grouped: a filter on the day then thins out
+    # the lines first, and the join's partitioning by order serves the grouping too.
+
     def disposals(_):
         lines = (
             raw("lineitem")
             .filter(IS_DISPOSAL)
-            .groupBy("l_orderkey", "l_partkey")
+            .join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("l_orderkey", "l_partkey", "o_orderdate")
             .agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("qty"))
         )
-        return (
-            lines.join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .selectExpr(
-                "l_orderkey * 1000000 + l_partkey disposalID",
-                "l_partkey itemID",
-                f"{COST} costPrice",
-                "qty",
-                "cast(null as date) expiryDate",
-                "case when l_partkey % 3 = 0 then l_partkey % 25 else l_orderkey % 25 end userID",
-                "o_orderdate createAt",
-            )
+        return lines.join(raw("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+            "l_orderkey * 1000000 + l_partkey disposalID",
+            "l_partkey itemID",
+            f"{COST} costPrice",
+            "qty",
+            "cast(null as date) expiryDate",
+            "case when l_partkey % 3 = 0 then l_partkey % 25 else l_orderkey % 25 end userID",
+            "o_orderdate createAt",
         )
 
     def purchase_items(_):
@@ -230,11 +230,12 @@ def load(spark: SparkSession, folder: str) -> Tables:
             raw("lineitem")
             .filter(IS_PURCHASE)
             .join(raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy("l_orderkey", "l_suppkey")
+            .join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("l_orderkey", "l_suppkey", "o_orderdate")
             .agg(F.expr(f"cast(sum(cast(l_quantity as int) * {COST}) as {S.MONEY})").alias("totalPrice"))
             .withColumn("purchaseID", F.expr("l_orderkey * 100000 + l_suppkey"))
         )
-        return totals.join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        return totals.selectExpr(
             "purchaseID",
             "l_suppkey + 1 supplierID",
             "concat('REF', purchaseID % 1000) referenceNo",
@@ -255,44 +256,41 @@ def load(spark: SparkSession, folder: str) -> Tables:
         )
 
     def stock(_):
-        supplier = f"case when {IS_PURCHASE} then l_suppkey end"
+        kind = f"case when {IS_SALE} then 1 when {IS_DISPOSAL} then 2 else 3 end"
         moved = (
             raw("lineitem")
             .filter("l_returnflag in ('N', 'R', 'A')")
             .selectExpr(
                 "l_orderkey",
                 "l_partkey",
-                f"case when {IS_SALE} then 1 when {IS_DISPOSAL} then 2"
-                " else 3 end kind",
-                f"{supplier} l_suppkey",
+                f"{kind} kind",
+                f"case when {IS_PURCHASE} then l_suppkey end l_suppkey",
                 "cast(l_quantity as int) qty",
                 "l_discount",
             )
-            .groupBy("l_orderkey", "l_partkey", "kind", "l_suppkey")
-            .agg(F.sum("qty").cast("int").alias("qty"), F.min("l_discount").alias("l_discount"))
-        )
-        sale = "kind = 1"
-        source_type = (
-            f"case when {sale} then {STOCK_TYPE} when kind = 2 then 'd'"
-            f" else {PURCHASE_TYPE} end"
-        )
-        return (
-            moved.join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .filter(f"not ({sale} and o_orderstatus = 'O')")
-            .join(raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .withColumn("sourceType", F.expr(source_type))
-            .selectExpr(
-                f"""case when {sale} then l_orderkey
-                         when kind = 2 then l_orderkey * 1000000 + l_partkey
-                         else l_orderkey * 100000 + l_suppkey end sourceID""",
+            .join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .filter("not (kind = 1 and o_orderstatus = 'O')")
+            .withColumn(
                 "sourceType",
-                "l_partkey itemID",
-                "case when sourceType in ('rs', 'p') then qty else -qty end qty",
-                f"case when {sale} then {PRICE} else cast(0 as {S.MONEY}) end itemPrice",
-                f"{COST} costPrice",
-                f"case when sourceType = 'rs' then {EXPIRY} end expiryDate",
-                "o_orderdate createAt",
+                F.expr(
+                    f"case when kind = 1 then {STOCK_TYPE} when kind = 2 then 'd'"
+                    f" else {PURCHASE_TYPE} end"
+                ),
             )
+            .groupBy("l_orderkey", "l_partkey", "kind", "l_suppkey", "sourceType", "o_orderdate")
+            .agg(F.sum("qty").cast("int").alias("qty"), F.min("l_discount").alias("l_discount"))
+        )
+        return moved.join(raw("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+            """case when kind = 1 then l_orderkey
+                    when kind = 2 then l_orderkey * 1000000 + l_partkey
+                    else l_orderkey * 100000 + l_suppkey end sourceID""",
+            "sourceType",
+            "l_partkey itemID",
+            "case when sourceType in ('rs', 'p') then qty else -qty end qty",
+            f"case when kind = 1 then {PRICE} else cast(0 as {S.MONEY}) end itemPrice",
+            f"{COST} costPrice",
+            f"case when sourceType = 'rs' then {EXPIRY} end expiryDate",
+            "o_orderdate createAt",
         )
 
     def return_debt_customer(_):
