@@ -256,38 +256,45 @@ def load(spark: SparkSession, folder: str) -> Tables:
         )
 
     def stock(_):
-        kind = f"case when {IS_SALE} then 1 when {IS_DISPOSAL} then 2 else 3 end"
+        # One key tells the kind of line: -1 a sale, -2 a disposal, else the supplier's id.
         moved = (
             raw("lineitem")
             .filter("l_returnflag in ('N', 'R', 'A')")
             .selectExpr(
                 "l_orderkey",
                 "l_partkey",
-                f"{kind} kind",
-                f"case when {IS_PURCHASE} then l_suppkey end l_suppkey",
+                f"case when {IS_SALE} then -1L when {IS_DISPOSAL} then -2L else l_suppkey end kind",
                 "cast(l_quantity as int) qty",
                 "l_discount",
             )
-            .join(raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .filter("not (kind = 1 and o_orderstatus = 'O')")
+            .join(
+                raw("orders").selectExpr(
+                    "o_orderkey",
+                    "o_orderdate",
+                    "o_orderstatus = 'O' is_open",
+                    "o_orderpriority = '5-LOW' is_return",
+                ),
+                F.col("l_orderkey") == F.col("o_orderkey"),
+            )
+            .filter("not (kind = -1 and is_open)")
+            .groupBy("l_orderkey", "l_partkey", "kind", "is_return", "o_orderdate")
+            .agg(F.sum("qty").cast("int").alias("qty"), F.min("l_discount").alias("l_discount"))
             .withColumn(
                 "sourceType",
                 F.expr(
-                    f"case when kind = 1 then {STOCK_TYPE} when kind = 2 then 'd'"
-                    f" else {PURCHASE_TYPE} end"
+                    """case when kind = -1 and is_return then 'rs' when kind = -1 then 's'
+                            when kind = -2 then 'd' when kind % 10 = 0 then 'rp' else 'p' end"""
                 ),
             )
-            .groupBy("l_orderkey", "l_partkey", "kind", "l_suppkey", "sourceType", "o_orderdate")
-            .agg(F.sum("qty").cast("int").alias("qty"), F.min("l_discount").alias("l_discount"))
         )
         return moved.join(raw("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
-            """case when kind = 1 then l_orderkey
-                    when kind = 2 then l_orderkey * 1000000 + l_partkey
-                    else l_orderkey * 100000 + l_suppkey end sourceID""",
+            """case when kind = -1 then l_orderkey
+                    when kind = -2 then l_orderkey * 1000000 + l_partkey
+                    else l_orderkey * 100000 + kind end sourceID""",
             "sourceType",
             "l_partkey itemID",
             "case when sourceType in ('rs', 'p') then qty else -qty end qty",
-            f"case when kind = 1 then {PRICE} else cast(0 as {S.MONEY}) end itemPrice",
+            f"case when kind = -1 then {PRICE} else cast(0 as {S.MONEY}) end itemPrice",
             f"{COST} costPrice",
             f"case when sourceType = 'rs' then {EXPIRY} end expiryDate",
             "o_orderdate createAt",
