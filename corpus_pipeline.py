@@ -7,8 +7,8 @@ returns a DataFrame; all but the last return the columns of ``documents``.
 from pyspark.sql import DataFrame, SparkSession
 
 from tillbook.functions.shared import new_folder
-from tillbook.llm import contamination, quality
-from tillbook.llm.registry import table
+from tillbook.llm import contamination, mixing, near, quality, tokens
+from tillbook.llm.registry import table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -19,12 +19,33 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter("kept").select(*COLUMNS)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return near.first_copies(docs).select(*COLUMNS)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return contamination.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
-STAGES = [("quality rules", good), ("benchmark decontamination", clean)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as many times as it is taken."""
+    return mixing.repeated(docs).select(*COLUMNS)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files hold: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
+    return tokens.token_files(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", good),
+    ("MinHash near-dedup", distinct),
+    ("benchmark decontamination", clean),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", tokenized),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+# Neither the paths of the join nor the tokenizer can be put in SQL.
 ORACLE_SQL = None

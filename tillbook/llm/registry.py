@@ -4,11 +4,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import contamination, pii, quality, secrets
+from tillbook.llm import (
+    contamination, language, lines, mixing, near, pii, quality, secrets, tokens, urls,
+)
 from tillbook.session import ready
 
 
+# A vocabulary file of the public tokenizers, by its name there.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder. Batches for Python are kept small, as some texts are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -24,20 +38,50 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans_report(table(spark, folder, "documents"))
 
 
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.repeated_lines_removed(table(spark, folder, "documents"))
+
+
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(table(spark, folder, "documents"))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return contamination.contamination_report(docs, items)
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_files(table(spark, folder, "documents"), tokenizer_path())
+
+
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, folder, "documents"))
+
+
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets_report(table(spark, folder, "documents"))
 
 
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_filter(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1,
     "op2_pii": op2,
+    "op3_line_dedup": op3,
+    "op4_language_id": op4,
     "op5_decontamination": op5,
+    "op6_minhash_near_dedup": op6,
+    "op7_token_binary": op7,
+    "op8_mixing": op8,
     "op9_secrets": op9,
+    "op10_url_filters": op10,
 }
 
 
