@@ -91,12 +91,13 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> D
         .agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target"))
     )
 
-    def share(name: str) -> Column:
-        total = counts.agg(F.coalesce(F.sum(name), F.lit(0))).scalar()
-        return (F.col(name) + rules.smoothing) / (total + F.lit(rules.smoothing * BUCKETS))
+    raws, targets = counts.agg(F.sum("raw"), F.sum("target")).first()
 
-    nats = F.ln(share("target")) - F.ln(share("raw"))
-    return counts.filter(counts.agg(F.sum("target")).scalar() > 0).select(
+    def share(name: str, total: int | None) -> Column:
+        return (F.col(name) + rules.smoothing) / F.lit((total or 0) + rules.smoothing * BUCKETS)
+
+    nats = F.ln(share("target", targets)) - F.ln(share("raw", raws))
+    return counts.filter(F.lit(bool(targets))).select(
         "bucket", F.round(nats * 1000).cast("long").alias("weight")
     )
 
@@ -104,23 +105,14 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> D
 def weight_array(weights: DataFrame) -> Column:
     """All weights as one array by bucket, of a fixed length; 0 for buckets not in use.
 
-    Two bytes each: a weight is the logarithm of a ratio of counts, at most some ten nats.
+    Two bytes each: a weight is the logarithm of a ratio of counts, at most some ten nats. The
+    array is stored, so that however often a plan mentions it, it is only read.
     """
     spark = weights.sparkSession
-    return (
-        spark.range(BUCKETS)
-        .select(F.col("id").cast("int").alias("bucket"))
-        .join(weights, "bucket", "left")
-        .agg(
-            F.transform(
-                F.sort_array(
-                    F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0)).cast("short").alias("w")))
-                ),
-                lambda x: x.w,
-            )
-        )
-        .scalar()
-    )
+    pairs = F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0)).cast("short").alias("w")))
+    ordered = F.transform(F.sort_array(pairs), lambda x: x.w)
+    buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    return stored(buckets.join(weights, "bucket", "left").agg(ordered.alias("weights"))).scalar()
 
 
 def repeated_words() -> Column:
@@ -162,8 +154,7 @@ def quality_counts(docs: DataFrame, weights: DataFrame, keep: list[str]) -> Data
             F.col(column), F.lit(0).cast("long"), lambda s, x: s + F.col("_weights")[bucket(x)]
         )
 
-    return counted.select(
-        *keep,
+    counts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(without(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS)))
@@ -174,6 +165,9 @@ def quality_counts(docs: DataFrame, weights: DataFrame, keep: list[str]) -> Data
         n_grams.cast("long").alias("n_grams"),
         (summed("_words") + summed("_pairs")).alias("score_sum"),
     )
+    # One row for one: a filter on the counts then has to come after them, and is not computed
+    # anew, with all that they are made of, below.
+    return counted.select(*keep, F.explode_outer(F.array(counts)).alias("_q")).select(*keep, "_q.*")
 
 
 def quality_rules(
