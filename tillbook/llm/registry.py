@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillbook.llm import (
-    contamination, language, lines, mixing, near, pii, quality, secrets, tokens, urls,
+    contamination, language, lines, mixing, near, oracle, pii, quality, secrets, tokens, urls,
 )
 from tillbook.session import ready
 
@@ -90,4 +90,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express; the others are tested against plain Python."""
+    return dict(oracle.SQL)
