@@ -208,7 +208,7 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model | None:
             done += len(lot)
         w = follow_leader(examples, len(languages), s)
         at = np.flatnonzero(np.abs(w).sum(axis=1))
-        return pd.DataFrame({"feature": at, "weights": list(w[at])})
+        return pd.DataFrame({"feature": at, "weights": pd.Series(w[at].tolist(), dtype=object)})
 
     learned = (
         sample.filter(~F.col("aside"))
