@@ -86,11 +86,13 @@ def test_hot_keys_and_spread_join(spark):
 def test_large_documents_come_in_parts(spark):
     heads = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc bigint, name string")
     lines = spark.range(5000).selectExpr("case when id < 4990 then 1 else 2 end doc", "id line", "id * 2 v")
-    rows = dicts(nested(heads, lines, "doc", "line", "lines", floor=500))
-    big = [r for r in rows if r["doc"] == 1]
-    assert len(big) > 1 and len({r["part"] for r in big}) == len(big)
-    assert sorted(x["line"] for r in big for x in r["lines"]) == list(range(4990))
-    assert max(len(r["lines"]) for r in big) < 1500
+    split = [dicts(nested(heads, lines, "doc", "line", "lines", None, 500, floor)) for floor in (100, 10**6)]
+    assert sorted(map(repr, split[0])) == sorted(map(repr, split[1]))
+    rows = split[0]
+    big = sorted((r for r in rows if r["doc"] == 1), key=lambda r: r["part"])
+    assert [r["part"] for r in big] == list(range(10))
+    assert [x["line"] for r in big for x in r["lines"]] == list(range(4990))
+    assert [len(r["lines"]) for r in big] == [500] * 9 + [490]
     two = [r for r in rows if r["doc"] == 2]
     assert len(two) == 1 and [x["line"] for x in two[0]["lines"]] == list(range(4990, 5000))
     assert [(r["part"], r["lines"]) for r in rows if r["doc"] == 3] == [(0, [])]

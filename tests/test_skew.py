@@ -94,7 +94,9 @@ def test_hot_document_is_split_and_whole(forced, folder):
     lines = t.invoice_item.select("invoiceID", "invdID", "itemID")
     hot = spread.hot_keys(lines, ["invoiceID"], floor=50)
     assert [r["invoiceID"] for r in hot.collect()] == [14]
-    docs = documents.nested(t.invoices.select("invoiceID"), lines, "invoiceID", "invdID", "lines", floor=50)
+    docs = documents.nested(
+        t.invoices.select("invoiceID"), lines, "invoiceID", "invdID", "lines", lines_per_part=50, floor=50
+    )
     assert docs.filter("invoiceID = 14").count() > 1
     opened = docs.selectExpr("invoiceID", "inline(lines)")
     assert same(opened, lines)

@@ -28,8 +28,11 @@ def in_dollars(iqd: Column, rate: Column) -> Column:
 
 
 def to_dollars(usd: Column, iqd: Column, rate: Column) -> Column:
-    """Both currencies in dollars; the dollar part is ignored when it is not positive and IQD is."""
-    converted = in_dollars(iqd, rate)
+    """Both currencies in dollars; the dollar part is ignored when it is not positive and IQD is.
+
+    At a zero rate only the converted part is unknown: it counts as nothing, and dollars stay.
+    """
+    converted = F.coalesce(in_dollars(iqd, rate), F.lit(0).cast("decimal(18,6)"))
     return (
         F.when((usd <= 0) & (iqd > 0), converted)
         .otherwise(usd + converted)

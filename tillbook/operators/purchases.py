@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 from tillbook import schema as S
 from tillbook.functions import ordered
 from tillbook.functions.dates import Day, in_days, on_day
-from tillbook.functions.documents import nested
+from tillbook.functions.documents import LINES_PER_PART, nested
 
-# Up to this many rows a page is a cheap top-k; a deeper one is found by rank.
-SHALLOW = 1_000
 
 
 def _supplied(t, purchases: DataFrame) -> DataFrame:
@@ -59,9 +57,13 @@ def purchase_lines(t, purchase_id: int | None = None) -> DataFrame:
 
 
 def purchase_documents(
-    t, purchase_id: int | None = None, first: Day | None = None, last: Day | None = None
+    t,
+    purchase_id: int | None = None,
+    first: Day | None = None,
+    last: Day | None = None,
+    lines_per_part: int = LINES_PER_PART,
 ) -> DataFrame:
-    """Purchases with supplier, user and an array of lines; huge ones in several parts."""
+    """Purchases with supplier, user and an array of lines, ``lines_per_part`` of them in a row."""
     heads = t.purchases
     lines = t.purchase_items
     if purchase_id is not None:
@@ -82,7 +84,7 @@ def purchase_documents(
     lines = lines.join(t.items.select("itemID", "itemCode", "itemName"), "itemID").select(
         "purchaseID", "pItemID", "itemID", "itemCode", "itemName", "costPrice", "qty", "costAfterDisc"
     )
-    return nested(heads, lines, "purchaseID", "pItemID", "purchaseItems", counted)
+    return nested(heads, lines, "purchaseID", "pItemID", "purchaseItems", counted, lines_per_part)
 
 
 PAGE = (
@@ -104,20 +106,15 @@ def _paged(t, purchases: DataFrame) -> DataFrame:
 def purchase_page(t, page: int, size: int = 20) -> DataFrame:
     """A page of purchases, newest id first, numbered from 1.
 
-    Early pages are a top-k. For pages further in, blocks of ids are counted in
-    parallel and only those the page lies in are ranked, so nothing is skipped
-    through a single task.
+    Blocks of ids are counted in parallel and only those the page lies in are ranked, so
+    nothing is skipped through a single task, however deep the page.
     """
     known = t.users.select(F.col("userID").alias("userIDUpdate"))
     rows = _supplied(t, t.purchases).join(known, "userIDUpdate", "left_semi").select("purchaseID")
     skip = (page - 1) * size
-    if skip + size <= SHALLOW:
-        chosen = rows.orderBy(F.desc("purchaseID")).limit(skip + size).offset(skip)
-    else:
-        chosen = ordered.descending_slice(rows, "purchaseID", skip, size)
-    # At most one page of ids.
+    chosen = ordered.descending_slice(rows, "purchaseID", skip, size)
     return (
-        _paged(t, t.purchases.join(F.broadcast(chosen), "purchaseID", "left_semi"))
+        _paged(t, t.purchases.join(chosen, "purchaseID", "left_semi"))
         .orderBy(F.desc("purchaseID"))
         .select(*PAGE)
     )

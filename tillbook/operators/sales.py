@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillbook import schema as S
 from tillbook.functions import ordered
 from tillbook.functions.dates import Day, as_date, in_days, on_day
-from tillbook.functions.documents import nested
+from tillbook.functions.documents import LINES_PER_PART, nested
 from tillbook.functions.money import due, gain, in_dollars, margin, total, total0, units0
 
 SOLD_TYPES = (S.SALE, S.SALE_RETURN)
@@ -318,11 +318,15 @@ def open_invoices(t, user_id: int | None = None) -> DataFrame:
 
 
 def invoice_documents(
-    t, invoice_id: int | None = None, first: Day | None = None, last: Day | None = None
+    t,
+    invoice_id: int | None = None,
+    first: Day | None = None,
+    last: Day | None = None,
+    lines_per_part: int = LINES_PER_PART,
 ) -> DataFrame:
     """Invoices with their lines nested: header, customer, user, array of lines.
 
-    A document too large for one task comes in several rows, told apart by ``part``.
+    A row holds ``lines_per_part`` lines at most; a longer document goes on in further parts.
     """
     heads = t.invoices
     lines = t.invoice_item
@@ -349,7 +353,7 @@ def invoice_documents(
         .join(t.units, "unitID")
         .select("invoiceID", "invdID", "itemID", "itemName", "qty", "productPrice", "unitName")
     )
-    return nested(heads, lines, "invoiceID", "invdID", "invoiceItems", counted)
+    return nested(heads, lines, "invoiceID", "invdID", "invoiceItems", counted, lines_per_part)
 
 
 def invoice_neighbours(t) -> DataFrame:

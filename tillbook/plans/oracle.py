@@ -160,8 +160,8 @@ TABLES = {
             else initialPay + totalPayIQD * cast(0.001 as decimal(4,3)) end as {C}) totalPay,
         totalPayIQD, invoiceType transactionType, userIDUpdate userID, invoices.createAt
         from invoices join customers using (customerID) where sellStatus = '1' and customerID <> 1""",
-    "purchase_paid": f"""select *, cast(case when amountPayIQD = 0 then amountPay when dollarPrice = 0 then null
-        when amountPay <= 0 then amountPayIQD * cast(0.001 as decimal(4,3))
+    "purchase_paid": f"""select *, cast(case when amountPayIQD = 0 then amountPay when dollarPrice = 0 and amountPay <= 0 then 0
+        when dollarPrice = 0 then amountPay when amountPay <= 0 then amountPayIQD * cast(0.001 as decimal(4,3))
         else amountPay + amountPayIQD * cast(0.001 as decimal(4,3)) end as {C}) paid from purchases""",
     "purchase_account": f"""select purchaseID sourceID, stockType sourceType, supplierID accountID,
         's' accountType, supplierName accountName,

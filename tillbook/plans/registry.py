@@ -205,6 +205,34 @@ add(
         from invoice_item join items using (itemID) join units on units.unitID = invoice_item.unitID
         group by invoiceID) using (invoiceID)""",
 )
+PARTS = """select invoiceID, customers.customerID, customerName, totalPrice, discount, stockType, invoiceType,
+        sellStatus, totalPay, initialPay, totalPayIQD, dollarPrice, fullName, coalesce(p, 0)::int part,
+        coalesce(n, 0)::int nLines, coalesce(lines, '') invoiceItems
+    from invoices join customers using (customerID)
+    join users on users.userID = invoices.userIDUpdate
+    left join (select invoiceID, p, count(*) n, string_agg(concat_ws('|', invdID, itemID, itemName, qty,
+            productPrice, unitName), ';' order by invdID) lines
+        from (select *, (row_number() over (partition by invoiceID order by invdID) - 1) // 3 p
+            from invoice_item join items using (itemID) join units on units.unitID = invoice_item.unitID)
+        group by invoiceID, p) using (invoiceID)"""
+add(
+    "invoice_documents_parts",
+    lambda t: listed_text(
+        sales.invoice_documents(t, lines_per_part=3),
+        "invoiceItems",
+        ["invdID", "itemID", "itemName", "qty", "productPrice", "unitName"],
+    ),
+    PARTS,
+)
+add(
+    "invoice_documents_range",
+    lambda t: listed_text(
+        sales.invoice_documents(t, first=FIRST, last=LAST, lines_per_part=3),
+        "invoiceItems",
+        ["invdID", "itemID", "itemName", "qty", "productPrice", "unitName"],
+    ),
+    PARTS + f" where cast(invoices.createAt as date) between date '{FIRST}' and date '{LAST}'",
+)
 add(
     "invoice_neighbours",
     lambda t: sales.invoice_neighbours(t),
