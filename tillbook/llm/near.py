@@ -10,8 +10,11 @@ large node links its documents with its first one, and branches on.
 Two documents of similarity 0.8 part in one tree with a probability of about 0.06; five
 independent trees leave about one pair in a million. A class of many similar documents would
 never come apart, and comparing all its pairs is not needed: nodes whose documents
-are all linked already are finished. Any others branch on, and what is together
-after the last level is compared in full.
+are all linked already are finished. Documents of any others go through twenty late trees
+of one path each, over fresh minwise tokens: a leaf is named by four of them. In a leaf, all
+pairs with different roots are looked at, once in the first leaf they share, and those
+that a finer sketch of 2,048 bits leaves open are compared. A pair of similarity 0.8 misses all
+late leaves with a probability of 0.00003.
 
 Every pair that comes out is confirmed on the full sets of both texts.
 """
@@ -26,25 +29,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.shared import stored
-from tillbook.llm.shingles import minimums, overlap, pair_sets, seeds
+from tillbook.llm.shingles import minimums, mixed, overlap, pair_sets, seeds
 from tillbook.llm.text import only
 
 TOKENS = 64
+# Late trees: minwise tokens, of each of which a bit is kept, trees, and tokens that name a leaf.
+LATE_TOKENS, LATE_TREES, LATE_PATH = 2048, 20, 4
 
 
 @dataclass(frozen=True)
 class Trees:
     """``differ`` is how many of 64 one-bit tokens two documents may differ in to be compared.
 
-    At a similarity of 0.8 a mean of 6.4 bits differ, with a deviation of 2.4.
+    At a similarity of 0.8 a mean of 6.4 bits differ, with a deviation of 2.4. ``late_differ``
+    is the same for the 2,048 bits of the late trees: mean 204.8, deviation 13.6.
     """
 
     percent: int = 80
     trees: int = 5
     small: int = 8
     levels: int = 5
-    more_levels: int = 6
     differ: int = 18
+    late_differ: int = 276
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -105,20 +111,18 @@ def representatives(sketched: DataFrame) -> DataFrame:
     )
 
 
-def children(node: Column, second: Column) -> Column:
-    """The nodes a document goes on to; ``second`` tells whether it takes its second path."""
+def children(node: Column) -> Column:
+    """The two nodes a document goes on to, or the one if they are the same."""
 
     def child(j: int) -> Column:
         place = F.pmod(F.xxhash64(node, F.lit(j)), F.lit(TOKENS)).cast("int")
         return F.xxhash64(node, place, F.col("tokens")[place])
 
-    return F.array_distinct(
-        F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-    )
+    return F.array_distinct(F.array(child(0), child(1)))
 
 
-def branched(rows: DataFrame, second: Column) -> DataFrame:
-    return rows.withColumn("node", F.explode_outer(children(F.col("node"), second)))
+def branched(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("node", F.explode(children(F.col("node"))))
 
 
 def alike(other: str, limits: Trees) -> Column:
@@ -165,6 +169,18 @@ def with_sizes(rows: DataFrame) -> DataFrame:
     return rows.join(nodes, "node")
 
 
+def texts_of(docs: DataFrame, reps: DataFrame, used: DataFrame) -> DataFrame:
+    """``rep`` and ``text`` of the representatives in ``used``."""
+    keys = reps.join(used, "rep", "left_semi").select("rep", "text_key")
+    return (
+        only(docs, "doc_id", "text")
+        .select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("text_key"))
+        .join(keys, ["rep", "text_key"])
+        .dropDuplicates(["rep"])
+        .select("rep", "text")
+    )
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` whose texts' full sets are similar enough."""
 
@@ -181,14 +197,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
             ).filter(pa.array(linked, pa.bool_()))
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    keys = reps.join(used, "rep", "left_semi").select("rep", "text_key")
-    texts = stored(
-        only(docs, "doc_id", "text")
-        .select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("text_key"))
-        .join(keys, ["rep", "text_key"])
-        .dropDuplicates(["rep"])
-        .select("rep", "text")
-    )
+    texts = stored(texts_of(docs, reps, used))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
@@ -236,11 +245,10 @@ def near_duplicates(docs: DataFrame, limits: Trees = Trees()) -> DataFrame:
     """
     sketched = stored(sketches(docs))
     reps = stored(representatives(sketched))
-    always = F.lit(True)
     rows = reps.select("rep", "n_shingles", "bits", "tokens").withColumn(
         "node", F.explode(F.array(*[F.xxhash64(F.lit(t)) for t in range(limits.trees)]))
     )
-    rows = branched(branched(rows, always), always).drop("tokens")
+    rows = branched(branched(rows)).drop("tokens")
     tokens = reps.select("rep", "tokens")
     found = []
     for level in range(2, limits.levels + 1):
@@ -248,7 +256,7 @@ def near_duplicates(docs: DataFrame, limits: Trees = Trees()) -> DataFrame:
         found.append(pairs_of(sized, limits))
         large = sized.filter(F.col("size") > limits.small).drop("size", "first")
         if level < limits.levels:
-            rows = branched(large.join(tokens, "rep"), always).drop("tokens")
+            rows = branched(large.join(tokens, "rep")).drop("tokens")
     # Rows that repeat an id have representatives of the same name: they are one document.
     links = stored(
         confirmed(stored(reduce(DataFrame.union, found).distinct()), reps, docs, limits.percent)
@@ -256,22 +264,9 @@ def near_duplicates(docs: DataFrame, limits: Trees = Trees()) -> DataFrame:
     roots = components(links)
     more = apart(large, roots)
     if not more.isEmpty():
-        found = []
-        for _ in range(limits.more_levels):
-            # A second path is taken once in four times: pairs just similar enough stay as
-            # many as they are, and others die out.
-            second = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(4)) == 0
-            rows = branched(more.drop("root").join(tokens, "rep"), second).drop("tokens")
-            sized = stored(with_sizes(rows))
-            found.append(pairs_of(sized.filter(F.col("size") <= limits.small), limits))
-            more = apart(sized.filter(F.col("size") > limits.small).drop("size", "first"), roots)
-        other = more.select("node", *[F.col(c).alias(f"_{c}") for c in ("rep", "n_shingles", "bits", "root")])
-        rest = more.join(other, "node").filter(
-            (F.col("rep") < F.col("_rep")) & (F.col("root") != F.col("_root"))
-        )
-        rest = rest.withColumn("other", F.struct(*[F.col(f"_{c}").alias(c) for c in ("n_shingles", "bits")]))
-        found.append(rest.filter(alike("other", limits)).select(F.col("rep").alias("a"), F.col("_rep").alias("b")))
-        late = stored(reduce(DataFrame.union, found).distinct())
+        texts = texts_of(docs, reps, more.select("rep").distinct())
+        rows = late_rows(late_sketches(texts).join(roots, "rep", "left"))
+        late = stored(late_pairs(rows, limits))
         links = links.union(confirmed(late, reps, docs, limits.percent))
         roots = components(links)
     classes = reps.join(roots, "rep", "left").select(
@@ -288,7 +283,7 @@ def near_duplicates(docs: DataFrame, limits: Trees = Trees()) -> DataFrame:
 
 
 def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of nodes whose documents are not all linked yet, with the ``root`` of each."""
+    """Rows of nodes whose documents are not all linked yet."""
     named = stored(rows.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
     open_nodes = (
         named.groupBy("node")
@@ -299,6 +294,85 @@ def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(named.join(open_nodes, "node", "left_semi"))
 
 
+def late_sketches(texts: DataFrame) -> DataFrame:
+    """``rep``, size of its set, its leaf in each late tree, and one bit of each late token."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale, shift = (x[TOKENS:] for x in seeds(TOKENS + LATE_TOKENS))
+        tree = np.arange(LATE_TREES, dtype=np.uint64)
+        for batch in batches:
+            sizes, leaves, bits = [], [], []
+            for hashes in pair_sets(batch.column("text").to_pylist()):
+                tokens = minimums(hashes, scale, shift)
+                leaf = mixed(tree)
+                for step in range(LATE_PATH):
+                    leaf = mixed(leaf + tokens[step * LATE_TREES : (step + 1) * LATE_TREES])
+                sizes.append(len(hashes))
+                leaves.append(leaf.view(np.int64))
+                bits.append(np.packbits((tokens & 1).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("rep"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(leaves, pa.list_(pa.int64())),
+                    pa.array(bits, pa.list_(pa.int64())),
+                ],
+                ["rep", "n_shingles", "leaves", "bits"],
+            )
+
+    return texts.select("rep", "text").mapInArrow(
+        work, "rep long, n_shingles long, leaves array<long>, bits array<long>"
+    )
+
+
+def late_rows(sketched: DataFrame) -> DataFrame:
+    """A row for each document and late leaf with several roots.
+
+    ``main`` is the root with most documents in the leaf; ``tree`` counts from 0.
+    """
+    known = stored(sketched.withColumn("root", F.coalesce("root", "rep")))
+    rows = known.select("rep", "root", F.posexplode("leaves").alias("tree", "leaf"))
+    counts = rows.groupBy("leaf", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed_leaves = (
+        counts.groupBy("leaf")
+        .agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n", "root"))["root"].alias("main"))
+        .filter("n_roots > 1")
+        .select("leaf", "main")
+    )
+    open_rows = rows.join(mixed_leaves, "leaf").select("leaf", "tree", "rep", "main")
+    return stored(open_rows.join(known, "rep"))
+
+
+def late_pairs(rows: DataFrame, limits: Trees) -> DataFrame:
+    """Distinct pairs with different roots, from the first leaf that both are in.
+
+    One side holds only the documents outside the main root of their leaf, so those that are
+    linked already never meet.
+    """
+    columns = ("rep", "n_shingles", "leaves", "bits", "root")
+    other = rows.select("leaf", (F.col("root") == F.col("main")).alias("_main"), *[F.col(c).alias(f"_{c}") for c in columns])
+    size, their_size = F.col("n_shingles"), F.col("_n_shingles")
+    differ = reduce(
+        Column.__add__,
+        [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(LATE_TOKENS // 64)],
+    )
+    met_before = F.arrays_overlap(
+        F.slice("leaves", F.lit(1), F.col("tree")), F.slice("_leaves", F.lit(1), F.col("tree"))
+    )
+    return (
+        rows.filter(F.col("root") != F.col("main"))
+        .join(other, "leaf")
+        .filter(
+            (F.col("root") != F.col("_root"))
+            & (F.col("_main") | (F.col("rep") < F.col("_rep")))
+            & (100 * F.least(size, their_size) >= limits.percent * F.greatest(size, their_size))
+            & (differ <= limits.late_differ)
+            & ~met_before
+        )
+        .select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b"))
+    )
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with all their columns."""
     dropped = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()

@@ -86,8 +86,9 @@ def seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
 def minimums(hashes: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set that is not empty, as 32 bits."""
     least = np.full(len(scale), np.iinfo(U).max, dtype=U)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096, None] * scale[None, :] + shift[None, :]
+    step = max(64, (1 << 18) // len(scale))
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step, None] * scale[None, :] + shift[None, :]
         least = np.minimum(least, part.min(axis=0))
     return (least >> U(32)).astype(np.uint32)
 
