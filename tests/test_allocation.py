@@ -122,3 +122,25 @@ def test_listed_invoices_are_settled_by_the_last_repayment(shop):
     )
     got = {r["invoiceID"]: (r["totalPay"], r["wasl"], r["rdcID"]) for r in dicts(settle_listed(t))}
     assert got == {1: (5, "1", 1), 2: (1, "0", None)}
+
+
+def test_money_is_spent_once(shop):
+    row = {"customerID": 2, "createAt": when("2020-01-01"), "initialPay": 0, "wasl": "0", "stockType": "s"}
+    pay = {"customerID": 2, "createAt": when("2020-02-01")}
+    t = shop(
+        invoices=[
+            row | {"invoiceID": 1, "totalPrice": 100, "totalPay": 0},
+            row | {"invoiceID": 2, "totalPrice": 100, "totalPay": 0},
+        ],
+        return_debt_customer=[
+            pay | {"rdcID": 1, "amountReturn": 100, "invoiceNumbers": "2"},
+            pay | {"rdcID": 2, "amountReturn": 30, "invoiceNumbers": ""},
+            pay | {"rdcID": 3, "amountReturn": 5},
+        ],
+    )
+    # The first repayment names its invoice and is left to settle_listed.
+    assert allocated(t) == {1: (35, "0", None), 2: (0, "0", None)}
+    # Only the new ones are spent where they are given.
+    new = t.return_debt_customer.filter("rdcID = 3")
+    got = {r["invoiceID"]: r["pays"] for r in dicts(allocate_repayments(t, payments=new))}
+    assert got == {1: 5, 2: 0}

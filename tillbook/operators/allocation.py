@@ -1,4 +1,4 @@
-"""Repayments filled into open invoices, oldest first, like tanks.
+"""Repayments spent on open invoices, oldest first.
 
 An invoice is filled when the money suffices for it and all before it. The first
 one it does not suffice for takes what is left and ends the row. Because an
@@ -10,17 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
-from tillbook.functions.names import explode_ids
+from tillbook.functions.names import explode_ids, id_array
 from tillbook.functions.ordered import next_value, prefix_sums
 from tillbook.functions.spread import HOT_FLOOR, hot_keys
 from tillbook.operators.parties import unpaid_sales
 
 
-TANK, PAYMENT = 0, 1
+BILL, PAYMENT = 0, 1
 
 
-def allocate_repayments(t, floor: int = HOT_FLOOR) -> DataFrame:
-    """All repayments of every customer over the customer's unpaid sales.
+def automatic_repayments(t) -> DataFrame:
+    """Repayments that name no invoice; those that do are spent by ``settle_listed``."""
+    return t.return_debt_customer.filter(F.size(id_array(F.col("invoiceNumbers"))) == 0)
+
+
+def allocate_repayments(
+    t, floor: int = HOT_FLOOR, payments: DataFrame | None = None
+) -> DataFrame:
+    """Repayments of every customer over the customer's unpaid sales.
+
+    ``payments`` are those to spend now, with the columns of ``return_debt_customer``. A table
+    does not tell which repayments ``totalPay`` holds already, so whoever calls this on
+    live tables gives the new ones only. By default they are all that name no invoice.
 
     Paying in sequence fills the same invoices as paying the sum at once, so the
     running sums give the amounts. ``rdcID`` is the repayment that filled the
@@ -31,16 +42,17 @@ def allocate_repayments(t, floor: int = HOT_FLOOR) -> DataFrame:
     the line is the one wanted. Both passes share one shuffle by customer, except
     that customers with very many rows are cut into segments.
     """
-    tanks = unpaid_sales(t).select(
-        "customerID", F.lit(TANK).alias("_kind"), "createAt", F.col("invoiceID").alias("_id"),
+    given = automatic_repayments(t) if payments is None else payments
+    bills = unpaid_sales(t).select(
+        "customerID", F.lit(BILL).alias("_kind"), "createAt", F.col("invoiceID").alias("_id"),
         F.col("total").alias("_value"), "totalPay",
     )
-    payments = t.return_debt_customer.select(
+    payments = given.select(
         "customerID", F.lit(PAYMENT).alias("_kind"), "createAt", F.col("rdcID").alias("_id"),
         F.col("amountReturn").alias("_value"), F.lit(None).cast(S.MONEY).alias("totalPay"),
     )
-    money = t.return_debt_customer.groupBy("customerID").agg(F.sum("amountReturn").alias("_money"))
-    rows = tanks.unionByName(payments)
+    money = given.groupBy("customerID").agg(F.sum("amountReturn").alias("_money"))
+    rows = bills.unionByName(payments)
     hot = hot_keys(rows, ["customerID"], floor)
     summed = prefix_sums(
         rows, ["customerID", "_kind"], ["createAt", "_id"], "_value", money, hot
@@ -58,13 +70,13 @@ def allocate_repayments(t, floor: int = HOT_FLOOR) -> DataFrame:
         "totalPay",
         F.when(F.col("_full"), F.col("_value")).when(reached, left_over).otherwise(0).alias("pays"),
         F.when(F.col("_full"), S.YES).otherwise(S.NO).alias("wasl"),
-        F.when(F.col("_kind") == TANK, F.col("peak")).otherwise(F.col("running")).alias("_level"),
+        F.when(F.col("_kind") == BILL, F.col("peak")).otherwise(F.col("running")).alias("_level"),
         F.when(F.col("_kind") == PAYMENT, F.col("_id")).alias("_payment"),
     )
     line = next_value(
         marked, ["customerID"], ["_level", "_kind", "createAt", "_id"], "_payment", "_filler", hot
     )
-    return line.filter(F.col("_kind") == TANK).select(
+    return line.filter(F.col("_kind") == BILL).select(
         F.col("_id").alias("invoiceID"),
         "customerID",
         "due",

@@ -758,10 +758,12 @@ add(
         rows unbounded preceding) top, max(cum) over (partition by customerID order by createAt, invoiceID
         rows between unbounded preceding and 1 preceding) before from summed""",
     flagged="""select *, coalesce(top <= money, false) full_ from topped left join (
-        select customerID, sum(amountReturn) money from return_debt_customer group by customerID)
+        select customerID, sum(amountReturn) money from return_debt_customer
+        where invoiceNumbers is null group by customerID)
         using (customerID)""",
     paid="""select customerID, rdcID, createAt, sum(amountReturn) over (partition by customerID
-        order by createAt, rdcID rows unbounded preceding) level from return_debt_customer""",
+        order by createAt, rdcID rows unbounded preceding) level from return_debt_customer
+        where invoiceNumbers is null""",
     filler="""select invoiceID, arg_min(rdcID, {'a': paid.createAt, 'b': rdcID}) rdcID
         from flagged join paid on flagged.customerID = paid.customerID and level >= top
         where full_ group by invoiceID""",
