@@ -129,3 +129,20 @@ def test_repost_drops_every_row_of_a_deleted_document(spark, shop):
     log = created.unionByName(edits, allowMissingColumns=True)
     after = {(r["sourceID"], r["sourceType"]): r["qty"] for r in dicts(changes.repost_invoices(t, log))}
     assert after == {(1, "p"): -2, (2, "rs"): 2, (3, "s"): -2}
+
+
+def test_repost_since_takes_new_documents_and_a_stored_ledger(spark, shop):
+    from pyspark.sql import functions as F
+
+    head = {"sellStatus": "1", "stockType": "s", "createAt": when("2020-01-01")}
+    line = {"itemID": 1, "qty": 2, "productPrice": 5, "costPrice": 4}
+    old = {"itemID": 1, "createAt": when("2020-01-01"), "sourceID": 1, "sourceType": "s", "qty": -9}
+    t = shop(
+        invoices=[head | {"invoiceID": n} for n in (1, 2)],
+        invoice_item=[line | {"invoiceID": n} for n in (1, 2)],
+        stock=[old],
+    )
+    log = t.invoices.withColumn("seq", F.col("invoiceID")).withColumn("op", F.lit("insert"))
+    stored = t.replaced(stock=t.stock.withColumn("day", F.to_date("createAt")))
+    rows = dicts(changes.repost_invoices(stored, log, since=1))
+    assert sorted((r["sourceID"], r["qty"]) for r in rows) == [(1, -9), (2, -2)]

@@ -182,3 +182,40 @@ def test_daily_sales_take_late_rows_within_the_delay(spark, tmp_path):
     rows = dicts(streams.keep_latest(streams.stream_daily_sales(source), ["day", "sourceType"], spark))
     # The last row comes after its day was closed by the row of the 20th.
     assert {r["day"].day: r["total"] for r in rows} == {5: 4, 3: 5, 20: 7}
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    def drained(folder, latest):
+        source = spark.readStream.schema(LINE).parquet(f"{tmp_path}/{folder}/b=*")
+        posted = streams.stream_post_stock(source)
+        places = (f"{tmp_path}/state-{latest}", f"{tmp_path}/rows-{latest}")
+        if latest:
+            return dicts(streams.keep_latest(streams.stream_on_hand(posted), ["itemID"], spark, *places))
+        return dicts(streams.append_to_files(posted, spark, *places))
+
+    def arrive(number, rows):
+        spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{tmp_path}/go/b={number}")
+
+    arrive(0, [line(1, "2020-01-01", "p", 5, 9)])
+    assert [r["qty"] for r in drained("go", False)] == [9]
+    assert [r["totalInStock"] for r in drained("go", True)] == [9]
+    arrive(1, [line(1, "2020-01-01", "p", 5, 9), line(2, "2020-01-01", "s", 5, 4)])
+    assert sorted(r["qty"] for r in drained("go", False)) == [-4, 9]
+    assert [r["totalInStock"] for r in drained("go", True)] == [5]
+
+
+def test_a_stream_without_input_has_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    posted = streams.stream_post_stock(spark.readStream.schema(LINE).parquet(f"{tmp_path}/in"))
+    assert dicts(streams.keep_latest(streams.stream_on_hand(posted), ["itemID"], spark)) == []
+    assert dicts(streams.append_to_files(posted, spark)) == []
+
+
+def test_low_stock_counts_opening_stock_and_items_never_moved(spark):
+    items = frame(
+        spark, "items", [{"itemID": n, "deleteStatus": "1", "stockAlert": 5, "itemName": "x"} for n in (1, 2, 3)]
+    )
+    on_hand = spark.createDataFrame([(1, -4), (2, -4)], "itemID bigint, totalInStock bigint")
+    opening = spark.createDataFrame([(1, 20), (2, 6)], "itemID bigint, qty int")
+    rows = dicts(streams.low_stock(on_hand, items, opening))
+    assert sorted((r["itemID"], r["totalInStock"]) for r in rows) == [(2, 2), (3, 0)]

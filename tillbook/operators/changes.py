@@ -156,10 +156,12 @@ def repost(
     """A ledger with all rows of changed documents replaced.
 
     ``changed`` holds distinct (sourceID, type); a deleted document simply has no
-    fresh rows.
+    fresh rows. The result has the columns of ``fresh``: a stored ledger's ``day`` is
+    made anew when it is written.
     """
     keys = ["sourceID", type_column]
-    return ledger.join(changed.select(*keys), keys, "left_anti").unionByName(fresh)
+    kept = ledger.join(changed.select(*keys), keys, "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
 
 
 def repost_documents(
@@ -171,14 +173,17 @@ def repost_documents(
     ledger: DataFrame,
     types: Sequence[str],
     type_column: str = "sourceType",
+    since: int | None = None,
 ) -> DataFrame:
     """A ledger after a log of changes to one kind of document.
 
-    The log starts with the inserts the ledger already knows. Only changed
-    documents are folded and posted again. An edit may move a document to another
-    type, so its old rows go under every type it may have had.
+    ``since`` is the last ``seq`` the ledger knows: documents with any later change, new
+    ones included, are folded from the whole log and posted again. Without it the ledger
+    knows all inserts of the log and none of the other changes. An edit may move a document
+    to another type, so its old rows go under every type it may have had.
     """
-    changed = log.filter(F.col("op") != INSERT).select(key).distinct()
+    unknown = F.col("op") != INSERT if since is None else F.col("seq") > since
+    changed = log.filter(unknown).select(key).distinct()
     columns = [c for c in getattr(t, table).columns if c != key]
     current = apply_changes(log.join(changed, key, "left_semi"), key, columns)
     removed = changed.select(
@@ -191,32 +196,35 @@ def repost_documents(
 SALES = (S.SALE, S.SALE_RETURN)
 
 
-def repost_invoices(t, log: DataFrame) -> DataFrame:
+def repost_invoices(t, log: DataFrame, since: int | None = None) -> DataFrame:
     """The stock ledger after a log of invoice changes."""
     return repost_documents(
-        t, log, "invoices", "invoiceID", posting.post_sales_stock, t.stock, SALES
+        t, log, "invoices", "invoiceID", posting.post_sales_stock, t.stock, SALES,
+        since=since,
     )
 
 
-def repost_invoice_accounts(t, log: DataFrame) -> DataFrame:
+def repost_invoice_accounts(t, log: DataFrame, since: int | None = None) -> DataFrame:
     """The party ledger after a log of invoice changes."""
     return repost_documents(
-        t, log, "invoices", "invoiceID", posting.post_sales_account, t.transactions, SALES
+        t, log, "invoices", "invoiceID", posting.post_sales_account, t.transactions, SALES,
+        since=since,
     )
 
 
-def repost_invoice_cash(t, log: DataFrame) -> DataFrame:
+def repost_invoice_cash(t, log: DataFrame, since: int | None = None) -> DataFrame:
     """The cash ledger after a log of invoice changes, returns included."""
     return repost_documents(
-        t, log, "invoices", "invoiceID", posting.post_sales_box, posting.box_ledger(t), SALES, "type"
+        t, log, "invoices", "invoiceID", posting.post_sales_box, posting.box_ledger(t), SALES, "type",
+        since,
     )
 
 
-def repost_expenses(t, log: DataFrame) -> DataFrame:
+def repost_expenses(t, log: DataFrame, since: int | None = None) -> DataFrame:
     """The cash ledger after a log of expense changes; a deleted expense gives its money back."""
     return repost_documents(
         t, log, "expenses", "expenseID", posting.post_expense, posting.box_ledger(t),
-        (S.EXPENSE,), "type",
+        (S.EXPENSE,), "type", since,
     )
 
 

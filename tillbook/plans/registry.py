@@ -957,7 +957,8 @@ def run_low_stock(spark: SparkSession, folder: str) -> DataFrame:
     on_hand = streams.keep_latest(
         streams.stream_on_hand(_posted(spark, folder)), ["itemID"], spark
     )
-    return streams.low_stock(on_hand, retail.load(spark, folder).items)
+    t = retail.load(spark, folder)
+    return streams.low_stock(on_hand, t.items, t.stock.select("itemID", "qty"))
 
 
 STREAMS = {
@@ -975,9 +976,11 @@ STREAMS = {
     "stream_low_stock": StreamQuery(
         run_low_stock,
         sql(
-            """select itemID, itemName, cast(sum(qty) as bigint) totalInStock
-            from moves join items using (itemID) where deleteStatus = '1'
-            group by itemID, itemName, stockAlert having sum(qty) <= stockAlert"""
+            """select itemID, itemName, cast(coalesce(sum(qty), 0) as bigint) totalInStock
+            from items left join
+            (select itemID, qty from moves union all select itemID, qty from stock) using (itemID)
+            where deleteStatus = '1'
+            group by itemID, itemName, stockAlert having coalesce(sum(qty), 0) <= stockAlert"""
         ),
     ),
 }

@@ -85,47 +85,79 @@ def stream_on_hand(stock_rows: DataFrame) -> DataFrame:
     return stock_rows.groupBy("itemID").agg(F.sum("qty").cast("bigint").alias("totalInStock"))
 
 
-def _drain(writer: DataStreamWriter, spark: SparkSession) -> None:
+def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
     """Runs a stream over all there is now, and waits."""
-    query = (
-        writer.option("checkpointLocation", new_folder(spark, "stream-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def append_to_files(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Drains an append-only stream into Parquet files and reads them back."""
-    folder = new_folder(spark, "stream-rows")
-    _drain(stream.writeStream.outputMode("append").format("parquet").option("path", folder), spark)
-    return spark.read.schema(stream.schema).parquet(folder)
+def append_to_files(
+    stream: DataFrame, spark: SparkSession, checkpoint: str | None = None, target: str | None = None
+) -> DataFrame:
+    """Drains an append-only stream into Parquet files and reads them back.
+
+    With the same ``checkpoint`` and ``target`` the next call goes on where this one
+    ended, state and watermark included. Without them each call starts anew.
+    """
+    checkpoint, target = _places(spark, checkpoint, target)
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", target)
+    _drain(writer, checkpoint)
+    return spark.read.schema(stream.schema).parquet(target)
 
 
-def keep_latest(stream: DataFrame, keys: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Drains an updating stream into a log and returns the latest row per key."""
-    folder = new_folder(spark, "stream-log")
+def keep_latest(
+    stream: DataFrame,
+    keys: Sequence[str],
+    spark: SparkSession,
+    checkpoint: str | None = None,
+    target: str | None = None,
+) -> DataFrame:
+    """Drains an updating stream into a log and returns the latest row per key.
+
+    ``checkpoint`` and ``target`` as in ``append_to_files``. A stream without input gives no rows.
+    """
+    checkpoint, target = _places(spark, checkpoint, target)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    _drain(stream.writeStream.outputMode("update").foreachBatch(write), spark)
+    # The log has a batch without rows from the start, so that it can be read in any case.
+    write(spark.createDataFrame([], stream.schema), -1)
+    _drain(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
     rest = [c for c in stream.columns if c not in keys]
     return (
-        spark.read.parquet(folder)
+        spark.read.schema(stream.schema)
+        .parquet(target)
         .groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
         .select(*keys, "_row.*")
     )
 
 
-def low_stock(on_hand: DataFrame, items: DataFrame) -> DataFrame:
-    """Live items whose running quantity is at or below their alert quantity."""
+def _places(spark: SparkSession, checkpoint: str | None, target: str | None) -> tuple[str, str]:
+    if (checkpoint is None) != (target is None):
+        raise ValueError("give checkpoint and target together, or neither")
+    if checkpoint is None:
+        return new_folder(spark, "stream-state"), new_folder(spark, "stream-rows")
+    return checkpoint, target
+
+
+def low_stock(on_hand: DataFrame, items: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """Live items whose quantity is at or below their alert quantity, those never moved included.
+
+    ``opening`` holds the stock rows (itemID, qty) from before the stream began; the running
+    quantity is added to their sum.
+    """
+    known = on_hand.select("itemID", "totalInStock")
+    if opening is not None:
+        before = opening.groupBy("itemID").agg(F.sum("qty").cast("bigint").alias("totalInStock"))
+        known = known.unionByName(before)
+    known = known.groupBy("itemID").agg(F.sum("totalInStock").alias("totalInStock"))
     return (
-        on_hand.join(
-            items.filter(F.col("deleteStatus") == S.YES).select("itemID", "itemName", "stockAlert"),
-            "itemID",
-        )
+        items.filter(F.col("deleteStatus") == S.YES)
+        .select("itemID", "itemName", "stockAlert")
+        .join(known, "itemID", "left")
+        .withColumn("totalInStock", F.coalesce("totalInStock", F.lit(0).cast("bigint")))
         .filter(F.col("totalInStock") <= F.col("stockAlert"))
         .select("itemID", "itemName", "totalInStock")
     )
