@@ -219,3 +219,32 @@ def test_low_stock_counts_opening_stock_and_items_never_moved(spark):
     opening = spark.createDataFrame([(1, 20), (2, 6)], "itemID bigint, qty int")
     rows = dicts(streams.low_stock(on_hand, items, opening))
     assert sorted((r["itemID"], r["totalInStock"]) for r in rows) == [(2, 2), (3, 0)]
+
+
+def test_reports_leave_other_days_of_a_stored_ledger_unread(spark, t, tmp_path):
+    from tillbook.operators import parties
+
+    for name in ("stock", "transactions"):
+        rows = getattr(t, name).filter(F.col("createAt").between("1998-01-01", "1998-02-01"))
+        tables.write_ledger(rows, f"{tmp_path}/{name}")
+    stored = t.replaced(
+        **{
+            name: (lambda _, name=name: tables.read_ledger(spark, f"{tmp_path}/{name}"))
+            for name in ("stock", "transactions")
+        }
+    )
+    first, last = "1998-01-05", "1998-01-20"
+    for report in (
+        lambda t: sales.profit_by_source(t, first, last),
+        lambda t: sales.profit_by_item(t, first, last),
+        lambda t: sales.sale_purchase_by_day(t, last),
+        lambda t: stock_ops.stock_movement(t, first, last),
+        lambda t: parties.account_statement(t, first, last, "c"),
+        lambda t: parties.partner_statement(t, first, last),
+    ):
+        df = report(stored)
+        shown = io.StringIO()
+        with redirect_stdout(shown):
+            df.explain("formatted")
+        assert "PartitionFilters: [isnotnull(day" in shown.getvalue()
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, report(t).collect()))

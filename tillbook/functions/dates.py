@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Day = str | dt.date
@@ -21,3 +21,15 @@ def in_days(column: str, first: Day, last: Day) -> Column:
 
 def on_day(column: str, day: Day) -> Column:
     return in_days(column, day, day)
+
+
+def of_days(ledger: DataFrame, first: Day, last: Day) -> DataFrame:
+    """Ledger rows created from the first day up to and with the last.
+
+    A ledger stored by day carries ``day``, the day of ``createAt``: bounds on it leave the
+    folders of other days unread. The result does not carry it.
+    """
+    rows = ledger.filter(in_days("createAt", first, last))
+    if "day" not in ledger.columns:
+        return rows
+    return rows.filter(F.col("day").between(F.lit(as_date(first)), F.lit(as_date(last)))).drop("day")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
-from tillbook.functions.dates import Day, in_days, on_day
+from tillbook.functions.dates import Day, in_days, of_days, on_day
 from tillbook.functions.money import total
 
 
@@ -45,7 +45,7 @@ def expense_day(t, day: Day) -> DataFrame:
 def box_register(t, first: Day, last: Day) -> DataFrame:
     """Cash rows of a period with shelf and user."""
     return (
-        t.box_transaction.filter(in_days("createAt", first, last))
+        of_days(t.box_transaction, first, last)
         .join(t.shelfs, "shelfID")
         .join(t.users.select("userID", F.col("userName").alias("user")), "userID")
         .select(

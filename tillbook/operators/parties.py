@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
-from tillbook.functions.dates import Day, in_days
+from tillbook.functions.dates import Day, in_days, of_days
 from tillbook.functions.money import due, to_dollars, total0
 from tillbook.functions.names import name_key
 
@@ -319,9 +319,7 @@ STATEMENT = (
 def account_statement(t, first: Day, last: Day, account_type: str) -> DataFrame:
     """Party ledger rows of customers or suppliers in a period, by time."""
     return (
-        t.transactions.filter(
-            (F.col("accountType") == account_type) & in_days("createAt", first, last)
-        )
+        of_days(t.transactions, first, last).filter(F.col("accountType") == account_type)
         .select(*STATEMENT)
         .orderBy("createAt", "sourceType", "sourceID")
     )
@@ -346,7 +344,7 @@ def partner_statement(t, first: Day, last: Day) -> DataFrame:
     are counted before they meet the ledger.
     """
     return (
-        t.transactions.filter(in_days("createAt", first, last))
+        of_days(t.transactions, first, last)
         .withColumn("_name", name_key(F.col("accountName")))
         .join(_partner_keys(t), "_name")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_pairs"))))

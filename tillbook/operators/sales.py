@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbook import schema as S
 from tillbook.functions import ordered
-from tillbook.functions.dates import Day, as_date, in_days, on_day
+from tillbook.functions.dates import Day, as_date, in_days, of_days, on_day
 from tillbook.functions.documents import LINES_PER_PART, nested
 from tillbook.functions.money import due, gain, in_dollars, margin, total, total0, units0
 
@@ -65,9 +65,8 @@ def money_movement(t, first: Day, last: Day) -> DataFrame:
         .cast(S.CONVERTED)
         .alias("totalExpenseDollar")
     )
-    profit = t.stock.filter(
-        F.col("sourceType").isin(*SOLD_TYPES) & in_days("createAt", first, last)
-    ).agg(total0(gain()).alias("totalProfit"))
+    sold = of_days(t.stock, first, last).filter(F.col("sourceType").isin(*SOLD_TYPES))
+    profit = sold.agg(total0(gain()).alias("totalProfit"))
     return one_row(invoices, purchases, from_customers, to_suppliers, expenses, profit)
 
 
@@ -75,7 +74,7 @@ def profit_by_source(t, first: Day, last: Day) -> DataFrame:
     """Profit, sales value and loss per document. Loss: lines sold below cost."""
     below = _is("sourceType", S.SALE) & (margin() < 0)
     return (
-        t.stock.filter(F.col("sourceType").isin(*PROFIT_TYPES) & in_days("createAt", first, last))
+        of_days(t.stock, first, last).filter(F.col("sourceType").isin(*PROFIT_TYPES))
         .groupBy("sourceID", "sourceType")
         .agg(
             total(gain()).alias("totalProfit"),
@@ -88,9 +87,7 @@ def profit_by_source(t, first: Day, last: Day) -> DataFrame:
 def profit_totals(t, first: Day, last: Day) -> DataFrame:
     """Profit over sales, returns and disposals; the disposals' share; the loss on sales."""
     below = _is("sourceType", S.SALE) & (margin() < 0)
-    return t.stock.filter(
-        F.col("sourceType").isin(*PROFIT_TYPES) & in_days("createAt", first, last)
-    ).agg(
+    return of_days(t.stock, first, last).filter(F.col("sourceType").isin(*PROFIT_TYPES)).agg(
         total0(gain()).alias("totalAll"),
         total0(_where(_is("sourceType", S.DISPOSAL), gain())).alias("totalDisposal"),
         total0(_where(below, gain())).alias("totalLoss"),
@@ -119,7 +116,7 @@ def top_categories(t, n: int = 10) -> DataFrame:
 
 def top_categories_day(t, day: Day, n: int = 10) -> DataFrame:
     """Categories by quantity sold on one day; returns do not count."""
-    sold = t.stock.filter(_is("sourceType", S.SALE) & on_day("createAt", day))
+    sold = of_days(t.stock, day, day).filter(_is("sourceType", S.SALE))
     return _top_categories(t, sold, n)
 
 
@@ -138,10 +135,8 @@ WEEK = (
 def daily_sale_purchase(t, day: Day) -> DataFrame:
     """Sale and purchase value of the day and the six before it, one row, one scan."""
     last = as_date(day)
-    moved = t.stock.filter(
-        F.col("sourceType").isin(S.SALE, S.PURCHASE)
-        & in_days("createAt", last - dt.timedelta(days=len(WEEK) - 1), last)
-    )
+    first = last - dt.timedelta(days=len(WEEK) - 1)
+    moved = of_days(t.stock, first, last).filter(F.col("sourceType").isin(S.SALE, S.PURCHASE))
     columns = []
     for ago, stem in enumerate(WEEK):
         that_day = on_day("createAt", last - dt.timedelta(days=ago))
@@ -159,9 +154,7 @@ def sale_purchase_by_day(t, day: Day, days: int = 7) -> DataFrame:
         F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")
     )
     moved = (
-        t.stock.filter(
-            F.col("sourceType").isin(S.SALE, S.PURCHASE) & in_days("createAt", first, last)
-        )
+        of_days(t.stock, first, last).filter(F.col("sourceType").isin(S.SALE, S.PURCHASE))
         .groupBy(F.to_date("createAt").alias("day"))
         .agg(
             total0(
@@ -368,7 +361,7 @@ def profit_by_item(t, first: Day, last: Day) -> DataFrame:
     the ledger.
     """
     moved = (
-        t.stock.filter(F.col("sourceType").isin(*PROFIT_TYPES) & in_days("createAt", first, last))
+        of_days(t.stock, first, last).filter(F.col("sourceType").isin(*PROFIT_TYPES))
         .groupBy("itemID")
         .agg(
             (-F.sum("qty")).cast("bigint").alias("totalQtySale"),
@@ -391,11 +384,10 @@ def profit_by_item(t, first: Day, last: Day) -> DataFrame:
 
 def top_items_month(t, month: int, n: int = 5, year: int | None = None) -> DataFrame:
     """Items by quantity sold in a calendar month, over all years unless one is given."""
-    sold = t.stock.filter(_is("sourceType", S.SALE) & (F.month("createAt") == month))
+    ledger = t.stock
     if year is not None:
-        sold = sold.filter(
-            in_days("createAt", dt.date(year, 1, 1), dt.date(year, 12, 31))
-        )
+        ledger = of_days(ledger, dt.date(year, 1, 1), dt.date(year, 12, 31))
+    sold = ledger.filter(_is("sourceType", S.SALE) & (F.month("createAt") == month))
     by_item = sold.groupBy("itemID").agg((-F.sum("qty")).cast("bigint").alias("topSale"))
     return (
         by_item.join(t.items.select("itemID", "itemName"), "itemID")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
-from tillbook.functions.dates import Day, in_days, on_day
+from tillbook.functions.dates import Day, in_days, of_days, on_day
 from tillbook.functions.money import units0
 from tillbook.operators.sales import one_row
 
@@ -88,7 +88,7 @@ def stock_movement(t, first: Day, last: Day) -> DataFrame:
     """Quantities in, out and disposed of in a period."""
     kind = F.col("sourceType")
     qty = F.col("qty")
-    return t.stock.filter(in_days("createAt", first, last)).agg(
+    return of_days(t.stock, first, last).agg(
         units0(F.when(kind.isin(S.PURCHASE, S.SALE_RETURN), qty)).alias("inToStock"),
         (-units0(F.when(kind.isin(S.SALE, S.PURCHASE_RETURN), qty))).alias("outFromStock"),
         (-units0(F.when(kind == S.DISPOSAL, qty))).alias("disposal"),
