@@ -15,7 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no plain rule and read like trusted ones."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    judged = quality.quality_rules(
+        docs, table(spark, sf_dir, "labels"), quality.ANY_SIZE, keep=COLUMNS
+    )
     return judged.filter("kept").select(*COLUMNS)
 
 

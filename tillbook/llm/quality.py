@@ -3,7 +3,8 @@
 Every word and every pair of neighbouring words is hashed into one of 65,536 buckets. Two
 multinomials over the buckets are counted, one of trusted documents and one of the whole
 corpus. A document scores the mean, over its n-grams, of the logarithm of their ratio,
-and is kept when that mean reaches a fixed threshold.
+and is kept when that mean reaches a fixed threshold. How much trusted text there is must not
+decide that: see ``QualityRules.prior``.
 
 Weights are whole thousandths of a nat, so a document's sum is exact and does not
 depend on the order in which tasks finish.
@@ -19,14 +20,19 @@ from tillbook.llm.text import BLANK_CLASS, BLANKS, only, whole, without, words
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 2**16
+# N-grams of a bucket by which its trusted share is drawn to its share of the corpus.
+PRIOR = 8.0
 
 
 @dataclass(frozen=True)
 class QualityRules:
     """``threshold`` is in thousandths of a nat per n-gram.
 
-    ``smoothing`` is added to every bucket of both multinomials. ``target_rows`` bounds
-    the labelled documents that the trusted counts are taken from.
+    ``smoothing`` is added to every bucket of both multinomials, which needs trusted text many
+    times the buckets: with less, whatever is common loses. With ``prior`` it is not used: a
+    bucket's trusted count is compared with the one expected from its share of the corpus, and
+    ``prior`` is added to both, so a bucket without evidence weighs 0 whatever the table's size.
+    ``target_rows`` bounds the labelled documents that the trusted counts are taken from.
     """
 
     least_words: int = 50
@@ -34,6 +40,11 @@ class QualityRules:
     threshold: int = -150
     smoothing: float = 1.0
     target_rows: int = 20_000
+    prior: float | None = None
+
+
+# What the registered query and the pipeline judge by.
+ANY_SIZE = QualityRules(prior=PRIOR)
 
 
 def hashes(text: Column) -> Column:
@@ -96,7 +107,11 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> D
     def share(name: str, total: int | None) -> Column:
         return (F.col(name) + rules.smoothing) / F.lit((total or 0) + rules.smoothing * BUCKETS)
 
-    nats = F.ln(share("target", targets)) - F.ln(share("raw", raws))
+    if rules.prior is None:
+        nats = F.ln(share("target", targets)) - F.ln(share("raw", raws))
+    else:
+        expected = F.col("raw") * F.lit((targets or 0) / (raws or 1))
+        nats = F.ln(F.col("target") + rules.prior) - F.ln(expected + rules.prior)
     return counts.filter(F.lit(bool(targets))).select(
         "bucket", F.round(nats * 1000).cast("long").alias("weight")
     )
