@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tillbook.llm.text import BLANK_CLASS, only, whole
 
 
-def repeated_lines_removed(docs: DataFrame) -> DataFrame:
+def repeated_lines_removed(docs: DataFrame, short: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_lines``, ``n_removed``, ``text``.
 
     ``n_lines`` counts lines with a word. A NULL text counts as empty. A text of fewer than
-    three lines with words has no window and stays whole. A NULL id comes before all others. A
-    row repeated in full is one document: its copies get the same result.
+    three lines with words has no window and stays whole, unless ``short`` gives it one window
+    over all of them, which only texts of as many lines share. A NULL id comes before all others.
+    A row repeated in full is one document: its copies get the same result.
     """
     keys = ["doc_id", "_k"]
     lines = F.split(whole(), "\n")
@@ -29,17 +30,23 @@ def repeated_lines_removed(docs: DataFrame) -> DataFrame:
         "doc_id", F.xxhash64("text", "doc_id").alias("_k"), lines.alias("_lines")
     )
     numbered = rows.select(*keys, "_lines", full.alias("_full"))
-    windows = numbered.select(
-        *keys,
-        F.explode_outer(
-            F.expr(
-                """transform(slice(_full, 1, greatest(size(_full) - 2, 0)), (x, i) -> struct(
-                    xxhash64(x.line, _full[i + 1].line, _full[i + 2].line) as h1,
-                    xxhash64(_full[i + 2].line, 3, x.line, _full[i + 1].line) as h2,
-                    array(x.i, _full[i + 1].i, _full[i + 2].i) as covers))"""
-            )
-        ).alias("w"),
-    ).select(*keys, "w.h1", "w.h2", "w.covers")
+    threes = F.expr(
+        """transform(slice(_full, 1, greatest(size(_full) - 2, 0)), (x, i) -> struct(
+            xxhash64(x.line, _full[i + 1].line, _full[i + 2].line) as h1,
+            xxhash64(_full[i + 2].line, 3, x.line, _full[i + 1].line) as h2,
+            array(x.i, _full[i + 1].i, _full[i + 2].i) as covers))"""
+    )
+    if short:
+        lone = F.expr(
+            """array(struct(
+                xxhash64(size(_full), _full.line) as h1,
+                xxhash64(_full.line, size(_full), 1) as h2,
+                _full.i as covers))"""
+        )
+        threes = F.when(F.size("_full").isin(1, 2), lone).otherwise(threes)
+    windows = numbered.select(*keys, F.explode_outer(threes).alias("w")).select(
+        *keys, "w.h1", "w.h2", "w.covers"
+    )
     place = F.struct("doc_id", "_k", "covers")
     firsts = (
         windows.groupBy("h1", "h2")
