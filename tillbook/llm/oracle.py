@@ -10,6 +10,9 @@ LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])+"
+# Apart from the patterns of the operators, so that a change there cannot hide here.
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
@@ -50,7 +53,7 @@ ALONE = "not regexp_matches(lft, '[A-Za-z0-9-]$') and not regexp_matches(rgt, '^
 
 
 def personal() -> str:
-    more = {kind.name: kind.pattern for kind in pii.MORE}
+    more = {"iban": IBAN, "ssn": SSN}
     rank = "list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind)"
     words = " ".join(f"when {quoted(k)} then {quoted(w)}" for k, w in pii.CONTEXT.items())
     points = " ".join(

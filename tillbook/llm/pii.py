@@ -6,10 +6,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.spans import Kind, digits_of, find, listed, luhn, mod97
+from tillbook.llm.spans import Kind, bound, digits_of, find, listed, luhn, mod97
 from tillbook.llm.text import only, whole
 
 LOCAL = "A-Za-z0-9._%+-"
+SHORTEST_IBAN = 15
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -22,6 +23,26 @@ def _alone(span: Column) -> Column:
     return ~span.before.rlike("[A-Za-z0-9-]$") & ~span.after.rlike("^[A-Za-z0-9-]")
 
 
+def _account(candidate: Column) -> Column:
+    """The candidate cut back group by group to the longest that passes its checksum, or NULL.
+
+    Words or numbers in capitals that follow an account code look like further groups of it.
+    """
+
+    def longest(groups: Column) -> Column:
+        whole_first = F.transform(
+            F.sequence(F.size(groups), F.lit(1)), lambda n: F.slice(groups, 1, n)
+        )
+        good = F.filter(
+            whole_first,
+            lambda g, i: ((i == 0) | (F.length(F.array_join(g, "")) >= SHORTEST_IBAN))
+            & mod97(F.array_join(g, "")),
+        )
+        return F.array_join(F.get(good, F.lit(0)), " ")
+
+    return bound(F.split(candidate, " "), longest)
+
+
 # A match of the first pattern starts where its run of characters does, or where the last
 # match ended; to try later places of the same run could find nothing.
 BASE = (
@@ -53,9 +74,12 @@ BASE = (
 MORE = (
     Kind(
         "iban",
-        r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
+        r"(?<![A-Za-z0-9-])(?=([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}"
+        r"|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])))[A-Z]{2}[0-9]{2}",
         r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{8}",
-        lambda s: _alone(s) & mod97(F.replace(s.match, F.lit(" "), F.lit(""))),
+        _always,
+        group=1,
+        cut=_account,
     ),
     Kind(
         "ssn",

@@ -23,13 +23,19 @@ STRETCH = 256
 
 @dataclass(frozen=True)
 class Kind:
-    """What to look for. ``sign`` is a quick pattern that any text with a match has."""
+    """What to look for. ``sign`` is a quick pattern that any text with a match has.
+
+    With a ``group``, the pattern matches the head of a candidate and captures all of it while
+    looking ahead, so that candidates may overlap. ``cut`` then gives the part of a candidate that
+    counts, or NULL, and of parts that overlap the earlier one stays.
+    """
 
     name: str
     pattern: str
     sign: str
     confirm: Callable[[Column], Column]
     group: int = 0
+    cut: Callable[[Column], Column] | None = None
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,6 +76,21 @@ def running_sum(values: Column) -> Column:
     )
 
 
+def apart(spans: Column) -> Column:
+    """Spans in order of their start, without those that begin inside one that stays."""
+    spread = F.aggregate(
+        spans,
+        F.struct(F.array().cast("array<int>").alias("stay"), F.lit(0).cast("long").alias("upto"), F.lit(0).alias("i")),
+        lambda a, s: F.struct(
+            F.when(s.start >= a.upto, F.concat(a.stay, F.array(a.i))).otherwise(a.stay).alias("stay"),
+            F.greatest(a.upto, F.when(s.start >= a.upto, s.end)).alias("upto"),
+            (a.i + 1).alias("i"),
+        ),
+        lambda a: a.stay,
+    )
+    return bound(spread, lambda stay: F.transform(stay, lambda i: spans[i]))
+
+
 def find(docs: DataFrame, keep: Sequence[str], text: Column, kinds: Sequence[Kind]) -> DataFrame:
     """``keep`` and, for each kind, an array of its confirmed spans in order of their start.
 
@@ -92,6 +113,14 @@ def find(docs: DataFrame, keep: Sequence[str], text: Column, kinds: Sequence[Kin
                 ).alias(f"_gaps_{kind.name}"),
             )
         ],
+        *[
+            F.when(
+                F.col("_text").rlike(kind.sign),
+                F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(kind.group)),
+            ).alias(f"_wholes_{kind.name}")
+            for kind in kinds
+            if kind.group
+        ],
     )
 
     def ends(kind: Kind) -> Column:
@@ -104,7 +133,33 @@ def find(docs: DataFrame, keep: Sequence[str], text: Column, kinds: Sequence[Kin
 
     ended = searched.select("*", *[ends(kind).alias(f"_ends_{kind.name}") for kind in kinds])
 
+    def cut_spans(kind: Kind) -> Column:
+        """As below; a gap then holds the rest of the candidate before it."""
+        gaps, stops = F.col(f"_gaps_{kind.name}"), F.col(f"_ends_{kind.name}")
+        parts = F.transform(
+            F.col(f"_found_{kind.name}"),
+            lambda head, i: F.struct(
+                i.alias("i"),
+                F.length(head).alias("head"),
+                kind.cut(F.col(f"_wholes_{kind.name}")[i]).alias("match"),
+            ),
+        )
+        return F.transform(
+            F.filter(parts, lambda p: p.match.isNotNull()),
+            lambda p: F.struct(
+                F.lit(kind.name).alias("kind"),
+                (stops[p.i] - p.head).alias("start"),
+                (stops[p.i] - p.head + F.length(p.match)).alias("end"),
+                p.match.alias("match"),
+                F.right(gaps[p.i], F.lit(NEAR)).alias("before"),
+                F.substr(gaps[p.i + 1], F.length(p.match) - p.head + 1, F.lit(NEAR)).alias("after"),
+            ),
+        )
+
     def spans(kind: Kind) -> Column:
+        if kind.group:
+            rows = F.filter(cut_spans(kind), lambda s: kind.confirm(s))
+            return F.coalesce(bound(rows, apart), F.filter(rows, lambda s: F.lit(False)), F.array())
         gaps, stops = F.col(f"_gaps_{kind.name}"), F.col(f"_ends_{kind.name}")
         rows = F.transform(
             F.col(f"_found_{kind.name}"),
