@@ -13,6 +13,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])+"
 # Apart from the patterns of the operators, so that a change there cannot hide here.
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+USER = r"(?:user|username|login|client_id|account_id|access_key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]+"
+ENDPOINT = r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9@:._/-]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
@@ -85,9 +87,9 @@ def credentials() -> str:
         "assign": keys + "[A-Za-z0-9+/_.=-]+",
         "access": "AKIA[A-Z0-9]+",
         "hex": "[0-9a-f]+",
-        "user": secrets.WEAK[0].pattern,
+        "user": USER,
         "blob": "[A-Za-z0-9+/_-]+",
-        "endpoint": secrets.WEAK[2].pattern,
+        "endpoint": ENDPOINT,
     }
     return f"""with {spans_cte(patterns)},
         good as (select *, list_position(['assign', 'access', 'hex', 'user', 'blob', 'endpoint'], kind) r

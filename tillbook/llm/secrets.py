@@ -30,11 +30,16 @@ BASE = (
     # A run that is too short for the kind is dropped anyway, so it need not be found.
     Kind("hex", r"[0-9a-f]{24,}+", r"[0-9a-f]{24}", lambda s: F.lit(True)),
 )
+# In either case, as configuration has them: DB_USER, userName, CLIENT_ID, AWS_ACCESS_KEY_ID.
+NAMES = (
+    r"(?i:(?:user|login|(?:client|account)[_-]?(?:id|name)|access[_-]?key)(?:[_-]?(?:id|name))?)"
+    r"[\"']?\x20*[:=]"
+)
 WEAK = (
     Kind(
         "user",
-        r"(?:user|username|login|client_id|account_id|access_key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]+",
-        r"(?:user|username|login|client_id|account_id|access_key)[\"']?\x20*[:=]",
+        NAMES + r"\x20*[\"']?[A-Za-z0-9@._-]+",
+        NAMES,
         lambda s: F.length(s.match) >= 8,
     ),
     Kind(
