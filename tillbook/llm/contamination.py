@@ -27,8 +27,10 @@ WINDOW = 10
 SHINGLE = 3
 # Longs of the bit filter: so many for each shingle, within these bounds.
 LONGS_PER_SHINGLE, LEAST_LONGS, MOST_LONGS = 0.5, 2**8, 2**17
-# The windows are broadcast if they are this few, at about 200 bytes each; else they are shuffled.
+# The windows are broadcast if they and the items listed with them are this few and take at most
+# 200 bytes each; else they are shuffled.
 MOST_BROADCAST = 50_000
+BROADCAST_BYTES = 200
 
 
 def item_words(text: Column) -> Column:
@@ -144,6 +146,15 @@ def found_places(docs: DataFrame, keys: list[str], sizes: list[int], bits: tuple
     )
 
 
+def few(entries: DataFrame) -> bool:
+    """Whether stored windows may be broadcast: by their number, their items and their bytes."""
+    size = sum(F.octet_length(F.array_join(c, " ")) + 8 * F.size(c) for c in ("window", "items"))
+    n, with_items, in_all = entries.agg(
+        F.count(F.lit(1)), F.sum(F.size("items")), F.sum(size.cast("long"))
+    ).first()
+    return max(n, with_items or 0) <= MOST_BROADCAST and (in_all or 0) <= BROADCAST_BYTES * MOST_BROADCAST
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, its key, ``n_words``, ``n_hit`` and ``items``.
 
@@ -171,7 +182,6 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     listed = stored(window_shingles(windows, sizes))
     distinct = listed.select("shingle").distinct()
     n_shingles = distinct.count()
-    small = n_shingles <= MOST_BROADCAST
     places = stored(found_places(keyed, keys, sizes, bit_filter(distinct, n_shingles)))
     counts = (
         places.select(F.explode("hits.shingle").alias("shingle")).groupBy("shingle").count()
@@ -188,6 +198,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("window", "length", "items", F.col("r.shingle"), F.col("r.offset"))
     )
     entries = stored(rarest)
+    small = few(entries)
     rows = places.select(*keys, "n_words", F.explode_outer("hits").alias("hit")).select(
         *keys, "n_words", "hit.at", "hit.shingle", "hit.first", "hit.near"
     )
