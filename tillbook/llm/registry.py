@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillbook.llm import (
-    contamination, language, lines, mixing, near, oracle, pii, quality, secrets, tokens, urls,
+    contamination, conversations, language, lines, mixing, near, oracle, pii, quality, secrets, tokens, urls,
 )
 from tillbook.session import ready
 
@@ -71,6 +71,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_filter(table(spark, folder, "pages"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1,
     "op2_pii": op2,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8,
     "op9_secrets": op9,
     "op10_url_filters": op10,
+    "op11_conversation_repair": op11,
 }
 
 
