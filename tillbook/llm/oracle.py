@@ -174,6 +174,26 @@ def pages() -> str:
         from p left join hits using (page_id)"""
 
 
+NEGATIVES = """
+    with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, x -> floor(256 * x::double)) v from embeddings
+            where label is not null and embedding is not null
+            and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+        positives as (select a.vec_id as anchor_id, a.label, a.v, p.vec_id as positive_id,
+            cast(list_dot_product(a.v, p.v) as bigint) as positive_score
+            from e a join e p on a.label = p.label and a.vec_id <> p.vec_id where a.vec_id % 100 = 0
+            qualify row_number() over (partition by anchor_id order by positive_score desc, positive_id) <= 5),
+        negatives as (select anchor_id, positive_id, n.vec_id as negative_id, positive_score,
+            cast(list_dot_product(p.v, n.v) as bigint) as negative_score
+            from positives p join e n on p.label <> n.label),
+        ranked as (select *, row_number() over (partition by anchor_id, positive_id
+            order by negative_score desc, negative_id) as place from negatives
+            where 30 * positive_score <= 100 * negative_score
+            and 100 * negative_score <= 90 * positive_score)
+    select anchor_id, positive_id, cast(place as integer) as rank, negative_id, positive_score,
+        negative_score from ranked where place <= 10"""
+
+
 SQL = {
     "op2_pii": personal(),
     "op3_line_dedup": LINES,
@@ -181,4 +201,5 @@ SQL = {
     "op8_mixing": MIXING,
     "op9_secrets": credentials(),
     "op10_url_filters": pages(),
+    "op12_hard_negatives": NEGATIVES,
 }

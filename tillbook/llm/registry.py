@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillbook.llm import (
-    contamination, conversations, language, lines, mixing, near, oracle, pii, quality, secrets, tokens, urls,
+    contamination, conversations, language, lines, mixing, near, negatives, oracle, pii, quality, secrets,
+    tokens, urls,
 )
 from tillbook.session import ready
 
@@ -75,6 +76,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_report(table(spark, folder, "conversations"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mining_report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1,
     "op2_pii": op2,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9,
     "op10_url_filters": op10,
     "op11_conversation_repair": op11,
+    "op12_hard_negatives": op12,
 }
 
 
