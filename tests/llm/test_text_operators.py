@@ -80,7 +80,7 @@ def test_empty_tables_give_no_rows(spark):
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_agrees_with_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         db.execute(f"create view {table} as from '{SMALL}/{table}.parquet'")
     theirs = db.execute(oracle.SQL[name]).df()
     ours = registry.queries()[name](spark, SMALL).toPandas()[list(theirs.columns)]

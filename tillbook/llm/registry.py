@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillbook.llm import (
-    contamination, conversations, language, lines, mixing, near, negatives, oracle, pii, quality, secrets,
-    tokens, urls,
+    classifier, contamination, conversations, language, lines, mixing, near, negatives, oracle, pii, quality,
+    secrets, tokens, urls,
 )
 from tillbook.session import ready
 
@@ -80,6 +80,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mining_report(table(spark, folder, "embeddings"))
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return classifier.quality_scores(docs, labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1,
     "op2_pii": op2,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10,
     "op11_conversation_repair": op11,
     "op12_hard_negatives": op12,
+    "op13_quality_classifier": op13,
 }
 
 
