@@ -176,9 +176,9 @@ def pages() -> str:
 
 NEGATIVES = """
     with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-            list_transform(embedding, x -> floor(256 * x::double)) v from embeddings
+            list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
             where label is not null and embedding is not null
-            and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
         positives as (select a.vec_id as anchor_id, a.label, a.v, p.vec_id as positive_id,
             cast(list_dot_product(a.v, p.v) as bigint) as positive_score
             from e a join e p on a.label = p.label and a.vec_id <> p.vec_id where a.vec_id % 100 = 0
