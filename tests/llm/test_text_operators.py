@@ -84,9 +84,8 @@ def test_agrees_with_sql(spark, name):
         db.execute(f"create view {table} as from '{SMALL}/{table}.parquet'")
     theirs = db.execute(oracle.SQL[name]).df()
     ours = registry.queries()[name](spark, SMALL).toPandas()[list(theirs.columns)]
-    key = theirs.columns[0]
-    a = ours.sort_values(key).astype(str).to_numpy().tolist()
-    b = theirs.sort_values(key).astype(str).to_numpy().tolist()
+    a = sorted(ours.astype(str).to_numpy().tolist())
+    b = sorted(theirs.astype(str).to_numpy().tolist())
     assert a == b
 
 
