@@ -5,18 +5,19 @@ representative has 64 minwise tokens. A tree starts with all of them in one node
 chooses two of the 64 places by its own hash, and each of its documents goes on to the two
 children named by its tokens at these places: similar documents mostly meet in a child,
 others hardly ever. A node with one document ends. A small node is compared exhaustively. A
-large node links its documents with its first one, and branches on.
+large node links its documents with its first one, and branches on. What comes out is
+confirmed on the full sets of both texts.
 
 Two documents of similarity 0.8 part in one tree with a probability of about 0.06; five
 independent trees leave about one pair in a million. A class of many similar documents would
 never come apart, and comparing all its pairs is not needed: nodes whose documents
 are all linked already are finished. Documents of any others go through twenty late trees
-of one path each, over fresh minwise tokens: a leaf is named by four of them. In a leaf, all
-pairs with different roots are looked at, once in the first leaf they share, and those
-that a finer sketch of 2,048 bits leaves open are compared. A pair of similarity 0.8 misses all
+of one path each, over fresh minwise tokens: a leaf is named by four of them. A pair of similarity 0.8 misses all
 late leaves with a probability of 0.00003.
 
-Every pair that comes out is confirmed on the full sets of both texts.
+A late leaf is compared exhaustively, on full sets and where they are: its documents are dealt over blocks of bounded size,
+every two blocks meet in one task, which counts the common shingles of all their pairs as a product of matrices
+and gives out no pairs, only the links that join what was not joined before, fewer than there are documents.
 """
 
 from collections.abc import Iterator
@@ -33,17 +34,17 @@ from tillbook.llm.shingles import minimums, mixed, overlap, pair_sets, seeds
 from tillbook.llm.text import only
 
 TOKENS = 64
-# Late trees: minwise tokens, of each of which a bit is kept, trees, and tokens that name a leaf.
-LATE_TOKENS, LATE_TREES, LATE_PATH = 2048, 20, 4
+# Late trees: how many, and tokens that name a leaf.
+LATE_TREES, LATE_PATH = 20, 4
+# A block of a late leaf: about so many documents and shingles. Columns of a matrix at a time.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 
 
 @dataclass(frozen=True)
 class Trees:
     """``differ`` is how many of 64 one-bit tokens two documents may differ in to be compared.
 
-    At a similarity of 0.8 a mean of 6.4 bits differ, with a deviation of 2.4. ``late_differ``
-    is the same for the 2,048 bits of the late trees: mean 204.8, deviation 13.6, and
-    ``early_differ`` for the first 512 of them, which most pairs do not get past: 51.2 and 6.8.
+    At a similarity of 0.8 a mean of 6.4 bits differ, with a deviation of 2.4.
     """
 
     percent: int = 80
@@ -51,8 +52,13 @@ class Trees:
     small: int = 8
     levels: int = 5
     differ: int = 18
-    early_differ: int = 88
-    late_differ: int = 276
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and a hash of it."""
+    return only(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")
+    )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -81,25 +87,22 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_key", "n_shingles", "print", "tokens"],
             )
 
-    return (
-        only(docs, "doc_id", "text")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-        .mapInArrow(
-            work, "doc_id long, text_key long, n_shingles long, print binary, tokens array<int>"
-        )
+    return keyed(docs).mapInArrow(
+        work, "doc_id long, text_key long, n_shingles long, print binary, tokens array<int>"
     )
 
 
 def representatives(sketched: DataFrame) -> DataFrame:
-    """One row per distinct set: the least id with it, its size, tokens and one-bit tokens."""
+    """One row per distinct set, numbered ``rep``: a row of it, its size, tokens and one-bit tokens.
+
+    The row is the one with the least id, then the least hash of its text. Numbers hold once the rows are
+    stored.
+    """
     classes = (
         sketched.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("print")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-        .select("print", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("text_key"))
-    )
-    own = sketched.select(
-        F.col("doc_id").alias("rep"), "text_key", "print", "n_shingles", "tokens"
+        .select("print", "r.doc_id", "r.text_key")
     )
     bits = F.aggregate(
         "tokens",
@@ -107,12 +110,23 @@ def representatives(sketched: DataFrame) -> DataFrame:
         lambda a, t: F.shiftleft(a, 1).bitwiseOR(t.bitwiseAND(1).cast("long")),
     )
     return (
-        own.join(classes, ["rep", "text_key", "print"], "left_semi")
-        .dropDuplicates(["rep", "text_key"])
-        .select("print", "rep", "text_key", "n_shingles", "tokens", bits.alias("bits"))
+        sketched.join(classes, ["doc_id", "text_key", "print"], "left_semi")
+        .dropDuplicates(["print"])
+        .select("print", "doc_id", "text_key", "n_shingles", "tokens", bits.alias("bits"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
 
 
+def of_one_id(sketched: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id but not their set."""
+    rows = sketched.select("doc_id", "print").join(reps.select("print", "rep"), "print")
+    shared = (
+        rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_last"))
+        .filter(F.col("a") < F.col("_last")).drop("_last")
+    )
+    return rows.join(shared, "doc_id").filter(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b"))
+
+
 def children(node: Column) -> Column:
     """The two nodes a document goes on to, or the one if they are the same."""
 
@@ -147,7 +161,7 @@ def pairs_of(members: DataFrame, limits: Trees) -> DataFrame:
         .select(F.col("me.*"), F.explode("others").alias("other"))
     )
     large = members.filter(F.col("size") > limits.small).select(
-        "rep", "n_shingles", "bits", F.col("first").alias("other")
+        "rep", "n_shingles", "bits", F.struct("first.rep", "first.n_shingles", "first.bits").alias("other")
     )
     return (
         small.unionByName(large)
@@ -164,7 +178,7 @@ def with_sizes(rows: DataFrame) -> DataFrame:
         rows.groupBy("node")
         .agg(
             F.count(F.lit(1)).alias("size"),
-            F.min(F.struct("rep", "n_shingles", "bits")).alias("first"),
+            F.min(F.struct("print", "rep", "n_shingles", "bits")).alias("first"),
         )
         .filter(F.col("size") > 1)
     )
@@ -173,13 +187,9 @@ def with_sizes(rows: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, reps: DataFrame, used: DataFrame) -> DataFrame:
     """``rep`` and ``text`` of the representatives in ``used``."""
-    keys = reps.join(used, "rep", "left_semi").select("rep", "text_key")
+    keys = reps.join(used, "rep", "left_semi").select("rep", "doc_id", "text_key")
     return (
-        only(docs, "doc_id", "text")
-        .select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("text_key"))
-        .join(keys, ["rep", "text_key"])
-        .dropDuplicates(["rep"])
-        .select("rep", "text")
+        keyed(docs).join(keys, ["doc_id", "text_key"]).dropDuplicates(["rep"]).select("rep", "text")
     )
 
 
@@ -243,15 +253,16 @@ def near_duplicates(docs: DataFrame, limits: Trees = Trees()) -> DataFrame:
     ``component_id`` is the least id reachable over links, ``kept`` tells whether it is the
     document's own. A NULL or empty text, or one of blanks, has no shingles and no links. A row
     with a NULL id links with nothing, has a NULL ``component_id`` and is kept. Rows that
-    repeat an id are one document: they share what any of them is linked with.
+    repeat an id are one document, also with different texts: each text is linked by its own set, and
+    what is linked with one is reachable from all.
     """
     sketched = stored(sketches(docs))
     reps = stored(representatives(sketched))
-    rows = reps.select("rep", "n_shingles", "bits", "tokens").withColumn(
+    tokens = reps.select("rep", "tokens")
+    rows = reps.select("print", "rep", "n_shingles", "bits", "tokens").withColumn(
         "node", F.explode(F.array(*[F.xxhash64(F.lit(t)) for t in range(limits.trees)]))
     )
     rows = branched(branched(rows)).drop("tokens")
-    tokens = reps.select("rep", "tokens")
     found = []
     for level in range(2, limits.levels + 1):
         sized = stored(with_sizes(rows))
@@ -259,22 +270,33 @@ def near_duplicates(docs: DataFrame, limits: Trees = Trees()) -> DataFrame:
         large = sized.filter(F.col("size") > limits.small).drop("size", "first")
         if level < limits.levels:
             rows = branched(large.join(tokens, "rep")).drop("tokens")
-    # Rows that repeat an id have representatives of the same name: they are one document.
-    links = stored(
-        confirmed(stored(reduce(DataFrame.union, found).distinct()), reps, docs, limits.percent)
-    )
+    links = confirmed(stored(reduce(DataFrame.union, found).distinct()), reps, docs, limits.percent)
+    links = stored(links.union(of_one_id(sketched, reps)))
     roots = components(links)
     more = apart(large, roots)
     if not more.isEmpty():
         texts = texts_of(docs, reps, more.select("rep").distinct())
-        rows = late_rows(late_sketches(texts).join(roots, "rep", "left"))
-        late = stored(late_pairs(rows, limits))
-        links = links.union(confirmed(late, reps, docs, limits.percent))
+        members = stored(late_sets(texts).join(roots, "rep", "left"))
+        links = links.union(late_links(late_rows(members), members, limits.percent))
         roots = components(links)
-    classes = reps.join(roots, "rep", "left").select(
-        "print", F.coalesce("root", "rep").alias("component_id")
+    whole = reps.join(roots, "rep", "left").select(
+        "print", "doc_id", F.coalesce("root", "rep").alias("root")
+    )
+    least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = whole.join(least, "root").select("print", "component_id")
+    known, empty = sketched.filter(F.col("print").isNotNull()), sketched.filter(F.col("print").isNull())
+    # A row without shingles may share its id with rows that have some.
+    others = (
+        known.join(empty.select("doc_id").distinct(), "doc_id", "left_semi")
+        .join(classes, "print")
+        .groupBy("doc_id")
+        .agg(F.min("component_id").alias("component_id"))
     )
-    merged = sketched.join(classes, "print", "left")
+    columns = ("doc_id", "n_shingles", "component_id")
+    merged = (
+        known.join(classes, "print", "left").select(*columns)
+        .unionByName(empty.join(others, "doc_id", "left").select(*columns))
+    )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return merged.select(
         "doc_id",
@@ -296,14 +318,15 @@ def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(named.join(open_nodes, "node", "left_semi"))
 
 
-def late_sketches(texts: DataFrame) -> DataFrame:
-    """``rep``, size of its set, its leaf in each late tree, and one bit of each late token."""
+def late_sets(texts: DataFrame) -> DataFrame:
+    """``rep``, its set and the size of it, and its leaf in each late tree."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale, shift = (x[TOKENS:] for x in seeds(TOKENS + LATE_TOKENS))
+        count = LATE_TREES * LATE_PATH
+        scale, shift = (x[TOKENS:] for x in seeds(TOKENS + count))
         tree = np.arange(LATE_TREES, dtype=np.uint64)
         for batch in batches:
-            sizes, leaves, bits = [], [], []
+            sizes, leaves, sets = [], [], []
             for hashes in pair_sets(batch.column("text").to_pylist()):
                 tokens = minimums(hashes, scale, shift)
                 leaf = mixed(tree)
@@ -311,73 +334,132 @@ def late_sketches(texts: DataFrame) -> DataFrame:
                     leaf = mixed(leaf + tokens[step * LATE_TREES : (step + 1) * LATE_TREES])
                 sizes.append(len(hashes))
                 leaves.append(leaf.view(np.int64))
-                bits.append(np.packbits((tokens & 1).astype(np.uint8)).view(np.int64))
+                sets.append(hashes.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("rep"),
                     pa.array(sizes, pa.int64()),
                     pa.array(leaves, pa.list_(pa.int64())),
-                    pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(sets, pa.binary()),
                 ],
-                ["rep", "n_shingles", "leaves", "bits"],
+                ["rep", "n_shingles", "leaves", "hashes"],
             )
 
     return texts.select("rep", "text").mapInArrow(
-        work, "rep long, n_shingles long, leaves array<long>, bits array<long>"
+        work, "rep long, n_shingles long, leaves array<long>, hashes binary"
     )
 
 
-def late_rows(sketched: DataFrame) -> DataFrame:
-    """A row for each document and late leaf with several roots.
+def late_rows(members: DataFrame) -> DataFrame:
+    """``leaf`` and ``rep`` for each late leaf with several roots, once for each two blocks to compare.
 
-    ``main`` is the root with most documents in the leaf; ``tree`` counts from 0.
+    ``x`` and ``y`` number the blocks; ``here`` is the document's own.
     """
-    known = stored(sketched.withColumn("root", F.coalesce("root", "rep")))
-    rows = known.select("rep", "root", F.posexplode("leaves").alias("tree", "leaf"))
-    counts = rows.groupBy("leaf", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_leaves = (
-        counts.groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("n_roots"), F.max(F.struct("n", "root"))["root"].alias("main"))
-        .filter("n_roots > 1")
-        .select("leaf", "main")
+    rows = members.select(
+        F.explode("leaves").alias("leaf"), "rep", "n_shingles", F.coalesce("root", "rep").alias("root")
     )
-    open_rows = rows.join(mixed_leaves, "leaf").select("leaf", "tree", "rep", "main")
-    return stored(open_rows.join(known, "rep"))
-
-
-def late_pairs(rows: DataFrame, limits: Trees) -> DataFrame:
-    """Distinct pairs with different roots, from the first leaf that both are in.
-
-    One side holds only the documents outside the main root of their leaf, so those that are
-    linked already never meet.
-    """
-    columns = ("rep", "n_shingles", "leaves", "bits", "root")
-    other = rows.select("leaf", (F.col("root") == F.col("main")).alias("_main"), *[F.col(c).alias(f"_{c}") for c in columns])
-    size, their_size = F.col("n_shingles"), F.col("_n_shingles")
-    # Written out for the first few words only: a longer expression would not be compiled.
-    early = [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(8)]
-    differ = F.aggregate(
-        F.zip_with("bits", "_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, n: a + n
+    blocks = F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
     )
-    met_before = F.arrays_overlap(
-        F.slice("leaves", F.lit(1), F.col("tree")), F.slice("_leaves", F.lit(1), F.col("tree"))
+    open_leaves = (
+        rows.groupBy("leaf")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.cast("int").alias("blocks"))
+        .filter(F.col("low") != F.col("high"))
+        .select("leaf", "blocks")
     )
+    own = F.pmod(F.xxhash64("leaf", "rep"), F.col("blocks")).cast("int")
     return (
-        rows.filter(F.col("root") != F.col("main"))
-        .join(other, "leaf")
-        .filter(
-            (F.col("root") != F.col("_root"))
-            & (F.col("_main") | (F.col("rep") < F.col("_rep")))
-            & (100 * F.least(size, their_size) >= limits.percent * F.greatest(size, their_size))
-            & (reduce(Column.__add__, early) <= limits.early_differ)
-            & (differ <= limits.late_differ)
-            & ~met_before
+        rows.join(open_leaves, "leaf")
+        .withColumn("here", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "leaf", F.least("here", "_other").alias("x"), F.greatest("here", "_other").alias("y"), "here", "rep"
         )
-        .select(F.least("rep", "_rep").alias("a"), F.greatest("rep", "_rep").alias("b"))
     )
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of some sets have in common."""
+    count = len(sets)
+    owner = np.repeat(np.arange(count), [len(s) for s in sets])
+    values, column, times = np.unique(
+        np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True
+    )
+    # What only one set has counts for none of the pairs.
+    place = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    owner, column = owner[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((count, count), dtype=np.float32)
+    # Counts stay far below what a 32-bit float holds exactly in each lot of columns.
+    total = np.zeros((count, count), dtype=np.int64)
+    for start in range(0, int(times[times > 1].size), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        matrix = np.zeros((count, COLUMNS), dtype=np.float32)
+        matrix[owner[a:b], column[a:b] - start] = 1
+        np.matmul(matrix, matrix.T, out=common)
+        total += common.astype(np.int64)
+    return total
+
+
+def joining(linked: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to join all that ``linked`` joins, and none between what is joined already."""
+    label, out = roots.copy(), []
+    for row in range(len(linked)):
+        near = np.flatnonzero(linked[row])
+        for new, first in zip(*np.unique(label[near], return_index=True)):
+            if new != label[row]:
+                out.append((row, int(near[first])))
+                label[label == new] = label[row]
+    return out
+
+
+def late_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` between documents of late leaves, confirmed on their full sets."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
+        names, roots, here = (
+            table.column(c).to_numpy().astype(np.int64) for c in ("rep", "root", "here")
+        )
+        order = np.argsort(names)
+        sets, names, roots, here = [sets[i] for i in order], names[order], roots[order], here[order]
+        common = common_counts(sets)
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        linked &= roots[:, None] != roots[None, :]
+        if len(set(here)) > 1:
+            linked &= here[:, None] != here[None, :]
+        links = joining(linked, roots)
+        return pa.table(
+            {
+                "a": pa.array([names[i] for i, _ in links], pa.int64()),
+                "b": pa.array([names[j] for _, j in links], pa.int64()),
+            }
+        )
+
+    sets = members.select("rep", F.coalesce("root", "rep").alias("root"), "hashes")
+    found = rows.join(sets, "rep").groupBy("leaf", "x", "y").applyInArrow(work, "a long, b long")
+    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows of ``docs`` whose document is kept, with all their columns.
+
+    A row that is repeated in full comes once. Rows that share a kept id but differ all stay, and so do
+    rows without id.
+    """
+    judged = near_duplicates(docs)
+    marks = (
+        judged.groupBy("doc_id")
+        .agg(F.bool_and("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again"))
+        .filter(F.col("doc_id").isNotNull() & (~F.col("kept") | F.col("again")))
+        .select(F.struct("doc_id", "kept").alias("_mark"))
+    )
+    marked = docs.alias("d").join(
+        stored(marks).alias("m"), F.expr("cast(d.doc_id as bigint) = m._mark.doc_id"), "left"
+    )
+    single = marked.filter("m._mark is null").select("d.*")
+    several = marked.filter("m._mark.kept").select("d.*").dropDuplicates()
+    return single.unionByName(several)
