@@ -193,33 +193,77 @@ def post_disposal(t) -> DataFrame:
     )
 
 
+def _opened(df: DataFrame, key: str, name: str, code: str, account: str, amount: Column) -> DataFrame:
+    return _posted(
+        df,
+        PARTY,
+        sourceID=F.col(key),
+        sourceType=F.lit(code),
+        accountID=F.col(key),
+        accountType=F.lit(account),
+        accountName=F.col(name),
+        totalPrice=amount,
+        totalPay=F.lit(0),
+        totalPayIQD=F.lit(0),
+        transactionType=F.lit(S.DEBT),
+    )
+
+
+def post_customer_opening(t) -> DataFrame:
+    """Debts that customers brought along."""
+    return _opened(
+        t.customers, "customerID", "customerName", S.OPENING_CUSTOMER, S.CUSTOMER, -F.col("previousDebt")
+    )
+
+
+def post_supplier_opening(t) -> DataFrame:
+    """Balances that suppliers brought along."""
+    return _opened(
+        t.suppliers, "supplierID", "supplierName", S.OPENING_SUPPLIER, S.SUPPLIER, F.col("previousBalance")
+    )
+
+
 def post_opening(t) -> DataFrame:
     """Debts and balances partners brought along when they were entered."""
+    return post_customer_opening(t).unionByName(post_supplier_opening(t))
 
-    def opened(df, key: str, name: str, code: str, account: str, amount: Column) -> DataFrame:
-        return _posted(
-            df,
-            PARTY,
-            sourceID=F.col(key),
-            sourceType=F.lit(code),
-            accountID=F.col(key),
-            accountType=F.lit(account),
-            accountName=F.col(name),
-            totalPrice=amount,
-            totalPay=F.lit(0),
-            totalPayIQD=F.lit(0),
-            transactionType=F.lit(S.DEBT),
-        )
 
-    customers = opened(
-        t.customers, "customerID", "customerName", S.OPENING_CUSTOMER, S.CUSTOMER,
-        -F.col("previousDebt"),
+def post_customer_repayment_account(t) -> DataFrame:
+    """Repayments of customers as party rows; the walk-in keeps no account.
+
+    ``amountReturn`` is stored with the second currency added; the discount comes off here. The
+    shop no longer posts these rows, it only corrects the ones it has, so they are not part of ``party_ledger``.
+    """
+    names = t.customers.select("customerID", "customerName")
+    known = t.return_debt_customer.filter(F.col("customerID") != S.WALK_IN)
+    return _posted(
+        known.join(names, "customerID", "left"),
+        PARTY,
+        sourceID=F.col("rdcID"),
+        sourceType=F.lit(S.REPAY_CUSTOMER),
+        accountID=F.col("customerID"),
+        accountType=F.lit(S.CUSTOMER),
+        accountName=F.col("customerName"),
+        totalPrice=F.col("amountReturn") - F.col("discount"),
+        totalPay=F.lit(0),
+        totalPayIQD=F.lit(0),
+        transactionType=F.lit(S.REPAYMENT),
     )
-    suppliers = opened(
-        t.suppliers, "supplierID", "supplierName", S.OPENING_SUPPLIER, S.SUPPLIER,
-        F.col("previousBalance"),
+
+
+def post_customer_repayment_box(t, note: str = "") -> DataFrame:
+    """Dollars and IQD a customer handed in; rows of the same kind as above."""
+    names = t.customers.select("customerID", "customerName")
+    iqd_part = in_dollars(F.col("amountReturnIQD"), F.col("dollarPrice"))
+    return _posted(
+        t.return_debt_customer.join(names, "customerID", "left"),
+        BOX,
+        sourceID=F.col("rdcID"),
+        amount=F.col("amountReturn") - iqd_part,
+        amountIQD=F.col("amountReturnIQD"),
+        type=F.lit(S.REPAY_CUSTOMER),
+        note=F.trim(F.concat_ws(" ", F.lit(note), F.col("customerName"))),
     )
-    return customers.unionByName(suppliers)
 
 
 def post_repayment_account(t) -> DataFrame:

@@ -194,6 +194,15 @@ TABLES = {
         cast(-amountReturnIQD as decimal(18,2)) amountIQD, 'rdp' "type",
         supplierName note, r.userID, r.createAt
         from return_debt r left join suppliers using (supplierID)""",
+    "customer_repayment_account": f"""select rdcID sourceID, 'rds' sourceType, customerID accountID,
+        'c' accountType, customerName accountName, cast(amountReturn - discount as {M}) totalPrice,
+        cast(0 as {C}) totalPay, cast(0 as decimal(18,2)) totalPayIQD, 'rd' transactionType,
+        return_debt_customer.userID, return_debt_customer.createAt
+        from return_debt_customer left join customers using (customerID) where customerID <> 1""",
+    "customer_repayment_box": f"""select shelfID, rdcID sourceID, cast(amountReturn as {M}) amount,
+        cast(amountReturnIQD as decimal(18,2)) amountIQD, 'rds' "type", coalesce(customerName, '') note,
+        return_debt_customer.userID, return_debt_customer.createAt
+        from return_debt_customer left join customers using (customerID)""",
     "expense_box": f"""select shelfID, expenseID sourceID, cast(-priceExpenseUSD as {M}) amount,
         cast(-priceExpenseIQD as decimal(18,2)) amountIQD, 'exp' "type",
         coalesce(note, '{EXPENSE_NOTE}') note, userIDCreated userID, createAt from expenses""",

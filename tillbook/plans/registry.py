@@ -1,16 +1,20 @@
 """Registered queries: name, the operator with its parameters, and its SQL twin."""
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbook.functions.shared import new_folder
 from tillbook.operators import allocation, cash, changes, parties, posting, pricing, purchases, sales
+from tillbook.operators import reposting
 from tillbook.operators import stock as stock_ops
-from tillbook.plans.oracle import C, M, T, sql
+from tillbook.plans.oracle import TABLES, C, M, T, sql
 from tillbook.session import ready
 from tillbook.sources import retail
+from tillbook.sources.ledgers import DayLedger
 from tillbook.sources.tables import Tables
 from tillbook.streaming import streams
 
@@ -930,6 +934,138 @@ add(
     where value is null or value <= 50""".replace("select * replace", "select box.* replace"),
 )
 
+# One kind of document and ledger: its log, the fixture's edits in SQL, the ledger, and the twin of its rule.
+REPOSTED = {
+    "purchase_stock": ("purchase_log", "purchases", "purchaseID", "stock", "purchase_stock", "'p', 'rp'"),
+    "purchase_account": (
+        "purchase_log", "purchases", "purchaseID", "transactions", "purchase_account", "'p', 'rp'"
+    ),
+    "purchase_cash": ("purchase_log", "purchases", "purchaseID", "box", "purchase_box", "'p', 'rp'"),
+    "disposal_stock": ("disposal_log", "disposals", "disposalID", "stock", "disposal_stock", "'d'"),
+    "supplier_repayment_account": (
+        "repayment_log", "return_debt", "rdID", "transactions", "repayment_account", "'rdp'"
+    ),
+    "supplier_repayment_cash": ("repayment_log", "return_debt", "rdID", "box", "repayment_box", "'rdp'"),
+    "customer_repayment_account": (
+        "customer_repayment_log", "return_debt_customer", "rdcID", "old_transactions",
+        "customer_repayment_account", "'rds'",
+    ),
+    "customer_repayment_cash": (
+        "customer_repayment_log", "return_debt_customer", "rdcID", "old_box", "customer_repayment_box",
+        "'rds'",
+    ),
+    "customer_opening": ("customer_opening_log", "customers", "customerID", "transactions", "opening", "'pdc'"),
+    "supplier_opening": ("supplier_opening_log", "suppliers", "supplierID", "transactions", "opening", "'pds'"),
+}
+# Edits of the logs: what is patched where the key leaves 1 when divided by 4. With 3 the row goes.
+EDITS = {
+    "purchases": f"""cast(totalPrice * 2 as {M}) as totalPrice, totalPrice as amountPay,
+        case when purchaseID % 8 = 1 then 'rp' else stockType end as stockType,
+        case when purchaseID % 3 = 0 then createAt + interval 1 day else createAt end as createAt""",
+    "disposals": f"qty + 1 as qty, cast(costPrice * 2 as {M}) as costPrice",
+    "return_debt": f"cast(amountReturn * 2 as {M}) as amountReturn, cast(1 as {M}) as discount",
+    "return_debt_customer": f"cast(amountReturn * 2 as {M}) as amountReturn, cast(1 as {M}) as discount",
+    "customers": f"cast(previousDebt + 10 as {M}) as previousDebt",
+    "suppliers": f"cast(previousBalance + 10 as {M}) as previousBalance",
+}
+# Ledgers that still hold repayments of customers, every other of them.
+OLD = {
+    "old_transactions": """select * from transactions union all select * from customer_repayment_account
+        where sourceID % 2 = 1""",
+    "old_box": "select * from box union all select * from customer_repayment_box where sourceID % 2 = 1",
+}
+
+
+def old_rows(t: Tables, ledger: str) -> DataFrame:
+    odd = F.col("sourceID") % 2 == 1
+    if ledger == "old_transactions":
+        return t.transactions.unionByName(posting.post_customer_repayment_account(t).filter(odd))
+    return posting.box_ledger(t).unionByName(posting.post_customer_repayment_box(t).filter(odd))
+
+
+LEDGERS = {
+    "stock": lambda t: t.stock,
+    "transactions": lambda t: t.transactions,
+    "box": posting.box_ledger,
+    "old_transactions": lambda t: old_rows(t, "old_transactions"),
+    "old_box": lambda t: old_rows(t, "old_box"),
+}
+
+
+def edited_rows(table: str, key: str, twin: str, codes: str) -> tuple[str, str, str, dict[str, str]]:
+    """Parts of a twin: keys that changed, the type column, new rows, and the expressions they read."""
+    stays = key in ("customerID", "supplierID")
+    changed = f"select {key} from {table} where {key} % 4 {'= 1' if stays else 'in (1, 3)'}"
+    extra = {f"edited_{table}": f"select * replace ({EDITS[table]}) from {table} where {key} % 4 = 1"}
+    rule = TABLES[twin]
+    if twin == "opening":
+        rule = rule.split("union all")[0 if table == "customers" else 1]
+    if twin == "purchase_account":
+        extra["edited_paid"] = TABLES["purchase_paid"].replace("purchases", "edited_purchases")
+        rule = rule.replace("purchase_paid", "edited_paid")
+    rule = re.sub(rf"\b{table}\b", f"edited_{table}", rule)
+    column = '"type"' if '"type"' in rule else "sourceType"
+    return f"{column} in ({codes}) and sourceID in ({changed})", column, rule, extra
+
+
+def add_reposted(name: str) -> None:
+    log, table, key, ledger, twin, codes = REPOSTED[name]
+    gone, column, rule, extra = edited_rows(table, key, twin, codes)
+    if ledger in OLD:
+        extra = {ledger: OLD[ledger], **extra}
+        rule = f"select * from ({rule}) where sourceID % 2 = 1"
+    add(
+        f"repost_{name}",
+        lambda t: reposting.reposted(t, getattr(t, log), reposting.KINDS[name], LEDGERS[ledger](t)),
+        f"select * from {ledger} where not ({gone}) union all {rule}",
+        **extra,
+    )
+
+
+for kind_name in REPOSTED:
+    add_reposted(kind_name)
+add(
+    "repost_manual_cash",
+    lambda t: reposting.reposted(t, t.cash_log, reposting.KINDS["manual_cash"], t.box_transaction),
+    f"""select * from box_transaction where btID % 4 not in (1, 3)
+    union all select * replace (case when btID % 8 = 1 then 'in' else "type" end as "type",
+        cast(case when "type" = 'ex' or ("type" = 'out' and btID % 8 <> 1) then -3 * abs(amount)
+            else 3 * abs(amount) end as {M}) as amount,
+        case when btID % 8 = 1 or "type" in ('in', 'ex') then abs(amountIQD) else -abs(amountIQD) end
+            as amountIQD) from box_transaction where btID % 4 = 1""",
+)
+
+
+def stored_ledger(t: Tables, ledger: str, kinds: list[str]) -> DataFrame:
+    """A ledger stored by day, after the days that the logs of some kinds touch were replaced in it."""
+    rows = LEDGERS[ledger](t)
+    spark = rows.sparkSession
+    days = DayLedger(spark, new_folder(spark, f"ledger-{ledger}"), rows.schema)
+    days.write(rows)
+    for name in kinds:
+        reposting.repost_days(t, getattr(t, REPOSTED[name][0]), reposting.KINDS[name], days)
+    return days.read().drop("day")
+
+
+def add_stored(name: str, ledger: str, kinds: list[str]) -> None:
+    gone, rules, extra = [], [], {}
+    for kind in kinds:
+        _, table, key, _, twin, codes = REPOSTED[kind]
+        condition, _, rule, more = edited_rows(table, key, twin, codes)
+        gone.append(f"({condition})")
+        rules.append(rule)
+        extra |= more
+    body = f"select * from {ledger} where not ({' or '.join(gone)})"
+    add(name, lambda t: stored_ledger(t, ledger, kinds), " union all ".join([body, *rules]), **extra)
+
+
+add_stored("repost_days_stock", "stock", ["purchase_stock", "disposal_stock"])
+add_stored(
+    "repost_days_accounts", "transactions",
+    ["purchase_account", "supplier_repayment_account", "customer_opening", "supplier_opening"],
+)
+add_stored("repost_days_cash", "box", ["purchase_cash", "supplier_repayment_cash"])
+
 # --- Streams ---------------------------------------------------------------------
 
 

@@ -475,6 +475,47 @@ def load(spark: SparkSession, folder: str) -> Tables:
         )
         return created.unionByName(edited, allowMissingColumns=True)
 
+    def log_of(rows, key: str, edits: list[str], patched: str = "% 4 = 1", gone: str = "% 4 = 3"):
+        """All rows as inserts, then patches and deletions of some of them."""
+        created = rows.withColumn("seq", F.lit(0).cast("bigint")).withColumn("op", F.lit("insert"))
+        edited = rows.filter(f"{key} {patched} or {key} {gone}").selectExpr(
+            key, "1L seq", f"case when {key} {gone} then 'delete' else 'patch' end op", *edits
+        )
+        return created.unionByName(edited, allowMissingColumns=True)
+
+    def purchase_log(t: Tables):
+        edits = [
+            f"cast(totalPrice * 2 as {S.MONEY}) totalPrice", "totalPrice amountPay",
+            "case when purchaseID % 8 = 1 then 'rp' end stockType",
+            "case when purchaseID % 3 = 0 then createAt + interval 1 day end createAt",
+        ]
+        return log_of(t.purchases, "purchaseID", edits)
+
+    def disposal_log(t: Tables):
+        return log_of(
+            t.disposals, "disposalID", ["qty + 1 qty", f"cast(costPrice * 2 as {S.MONEY}) costPrice"]
+        )
+
+    def repayment_log(t: Tables):
+        edits = [f"cast(amountReturn * 2 as {S.MONEY}) amountReturn", f"cast(1 as {S.MONEY}) discount"]
+        return log_of(t.return_debt, "rdID", edits)
+
+    def customer_repayment_log(t: Tables):
+        edits = [f"cast(amountReturn * 2 as {S.MONEY}) amountReturn", f"cast(1 as {S.MONEY}) discount"]
+        return log_of(t.return_debt_customer, "rdcID", edits)
+
+    def cash_log(t: Tables):
+        edits = [f"cast(amount * 3 as {S.MONEY}) amount", "case when btID % 8 = 1 then 'in' end type"]
+        return log_of(t.cash_entries, "btID", edits)
+
+    def customer_opening_log(t: Tables):
+        edits = [f"cast(previousDebt + 10 as {S.MONEY}) previousDebt"]
+        return log_of(t.customers, "customerID", edits, gone="is null")
+
+    def supplier_opening_log(t: Tables):
+        edits = [f"cast(previousBalance + 10 as {S.MONEY}) previousBalance"]
+        return log_of(t.suppliers, "supplierID", edits, gone="is null")
+
     def search_terms(_):
         return raw("part").selectExpr(
             """case when p_partkey % 2 = 0 then concat('p', p_partkey)
@@ -512,6 +553,13 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "customer_log": customer_log,
             "invoice_log": invoice_log,
             "expense_log": expense_log,
+            "purchase_log": purchase_log,
+            "disposal_log": disposal_log,
+            "repayment_log": repayment_log,
+            "customer_repayment_log": customer_repayment_log,
+            "cash_log": cash_log,
+            "customer_opening_log": customer_opening_log,
+            "supplier_opening_log": supplier_opening_log,
             "search_terms": search_terms,
         }
     )
