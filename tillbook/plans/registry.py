@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.shared import new_folder
 from tillbook.operators import allocation, cash, changes, parties, posting, pricing, purchases, sales
-from tillbook.operators import reposting
+from tillbook.operators import line_edits, reposting
 from tillbook.operators import stock as stock_ops
 from tillbook.plans.oracle import TABLES, C, M, T, sql
 from tillbook.session import ready
@@ -1066,6 +1066,89 @@ add_stored(
 )
 add_stored("repost_days_cash", "box", ["purchase_cash", "supplier_repayment_cash"])
 
+# Lines after the fixture's edits, by key, lines, price column, and the twin's own lines.
+def edited_lines_sql(key: str, lines: str, price: str, after_discount: str) -> dict[str, str]:
+    place = f"({key} + itemID) % 11"
+    kept = "shelfID, unitID, expiryDate" if lines == "invoice_item" else "discount"
+    return {
+        "one_event": f"""select {key}, itemID, {kept}, cast(case when {place} = 0 then qty + 1 when {place} = 1 then 9
+                when {place} = 4 then qty - 1 else qty end as int) qty,
+            case when {place} = 2 then cast(7.5 as {M}) else {price} end {price},
+            case when {place} = 5 then cast(3.25 as {M}) else costPrice end costPrice
+            from {lines} where {place} <> 3""".replace(
+            "case when (purchaseID + itemID) % 11 = 2 then cast(7.5 as decimal(18,4)) else costAfterDisc end costAfterDisc,",
+            "",
+        ),
+        "added_items": f"select distinct {key}, {key} % 10 + 1 itemID from {lines} where {key} % 3 = 0",
+        "edited_all": f"""select {key}, itemID, {kept}, cast(coalesce(qty, 0) + case when a.{key} is null then 0
+                else 2 end as int) qty, {after_discount}
+            coalesce(costPrice, cast(4 as {M})) costPrice from one_event full join added_items a using ({key}, itemID)""",
+    }
+
+
+SALES_EDITED = edited_lines_sql(
+    "invoiceID", "invoice_item", "productPrice", f"coalesce(productPrice, cast(11 as {M})) productPrice,"
+)
+PURCHASES_EDITED = edited_lines_sql(
+    "purchaseID", "purchase_items", "costAfterDisc",
+    f"cast(coalesce(costPrice, cast(4 as {M})) - coalesce(discount, 0) as {M}) costAfterDisc,",
+)
+TOTALS_EDITED = """select {key}, cast(sum(total) as {T}) totalChange from (
+        select {key}, -qty * {price} total from {lines} union all select {key}, qty * {price} from edited_all)
+        group by {key}"""
+
+
+def edited_twin(lines: str) -> str:
+    """The twin of a stock rule over the edited lines."""
+    rule = TABLES["sales_stock" if lines == "invoice_item" else "purchase_stock"]
+    return re.sub(rf"\b{lines}\b", "edited_all", rule)
+
+
+def add_edited(name: str, side: line_edits.Side, events: str, edited: dict[str, str]) -> None:
+    def deltas(t: Tables) -> DataFrame:
+        return line_edits.line_deltas(t, side, getattr(t, events))
+
+    def totals(t: Tables) -> DataFrame:
+        return line_edits.total_deltas(t, side, deltas(t))
+
+    codes = "'s', 'rs'" if side is line_edits.SALES else "'p', 'rp'"
+    change = TOTALS_EDITED.format(key=side.key, price=side.price, lines=side.lines, T=T)
+    heads = f"""select h.* replace (cast(totalPrice + coalesce(totalChange, 0) as {M}) as totalPrice)
+        from {side.heads} h left join total_changes using ({side.key})
+        where {side.key} not in (select {side.key} from {side.lines}) or {side.key} in (select {side.key} from edited_all)"""
+    heads_only = {**edited, "total_changes": change, "edited_heads": heads}
+    add(
+        f"edit_{name}_stock",
+        lambda t: line_edits.stock_after(t.stock, line_edits.stock_deltas(t, side, deltas(t))).drop("weight"),
+        f"""select sourceID, sourceType, itemID, cast(sum(qty) as int) qty, itemPrice, costPrice, expiryDate, createAt
+        from (select * from stock where sourceType not in ({codes}) union all {edited_twin(side.lines)})
+        group by all""",
+        **edited,
+    )
+    add(
+        f"edit_{name}_totals",
+        lambda t: line_edits.heads_after(t, side, totals(t)).select(side.key, "totalPrice"),
+        f"select {side.key}, totalPrice from edited_heads",
+        **heads_only,
+    )
+    account = "sales_account" if side is line_edits.SALES else "purchase_account"
+    rule = TABLES[account].replace("purchase_paid", "edited_paid")
+    more = {"edited_paid": TABLES["purchase_paid"].replace("from purchases", "from edited_heads")}
+    add(
+        f"edit_{name}_accounts",
+        lambda t: line_edits.accounts_after(
+            t.transactions, line_edits.account_deltas(t, side, totals(t))
+        ).drop("weight"),
+        f"select * from transactions where sourceType not in ({codes}) union all "
+        + re.sub(r"\binvoices\b", "edited_heads", rule),
+        **heads_only,
+        **(more if account == "purchase_account" else {}),
+    )
+
+
+add_edited("sales", line_edits.SALES, "sales_edits", SALES_EDITED)
+add_edited("purchases", line_edits.PURCHASES, "purchase_edits", PURCHASES_EDITED)
+
 # --- Streams ---------------------------------------------------------------------
 
 

@@ -516,6 +516,27 @@ def load(spark: SparkSession, folder: str) -> Tables:
         edits = [f"cast(previousBalance + 10 as {S.MONEY}) previousBalance"]
         return log_of(t.suppliers, "supplierID", edits, gone="is null")
 
+    def edits_of(lines, key: str):
+        """One event for some lines, and items added to some documents afterwards."""
+        kinds = ["inc", "qty", "price", "delete", "dec", "cost"]
+        listed = ", ".join(f"'{k}'" for k in kinds)
+        place = f"pmod({key} + itemID, 11)"
+        edited = lines.filter(f"{place} < {len(kinds)}").selectExpr(
+            key, "itemID", "1L seq", f"element_at(array({listed}), cast({place} as int) + 1) kind",
+            "cast(9 as int) qty", f"cast(7.5 as {S.MONEY}) price", f"cast(3.25 as {S.MONEY}) cost",
+        )
+        added = lines.filter(f"{key} % 3 = 0").selectExpr(key).distinct().selectExpr(
+            key, f"{key} % 10 + 1 itemID", "2L seq", "'add' kind", "cast(2 as int) qty",
+            f"cast(11 as {S.MONEY}) price", f"cast(4 as {S.MONEY}) cost",
+        )
+        return edited.unionByName(added)
+
+    def sales_edits(t: Tables):
+        return edits_of(t.invoice_item, "invoiceID")
+
+    def purchase_edits(t: Tables):
+        return edits_of(t.purchase_items, "purchaseID")
+
     def search_terms(_):
         return raw("part").selectExpr(
             """case when p_partkey % 2 = 0 then concat('p', p_partkey)
@@ -553,6 +574,8 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "customer_log": customer_log,
             "invoice_log": invoice_log,
             "expense_log": expense_log,
+            "sales_edits": sales_edits,
+            "purchase_edits": purchase_edits,
             "purchase_log": purchase_log,
             "disposal_log": disposal_log,
             "repayment_log": repayment_log,
