@@ -10,7 +10,7 @@ once and written to the shared folder before it is used.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions.shared import stored
@@ -123,11 +123,13 @@ def prefix_sums(
     value: str,
     per_key: DataFrame | None = None,
     hot: DataFrame | None = None,
+    peak_at: Column | None = None,
 ) -> DataFrame:
     """Running sums of a value per key, in an order that ends in a unique column.
 
     Adds ``running``, the sum up to and with the row; ``peak``, the highest running
-    sum so far; ``peak_before``, the same without the row, NULL on the first one.
+    sum so far; ``peak_before``, the same without the row, NULL on the first one. With ``peak_at`` only
+    the sums at rows of that condition count for the peak, which is NULL before the first of them.
     ``per_key`` may hold one row of further columns per key, or per first part of
     it, to bring along. ``hot`` lists the keys to cut into segments.
     """
@@ -138,11 +140,15 @@ def prefix_sums(
         plain = plain.join(per_key, on, "left")
     within = Window.partitionBy(*keys).orderBy(*order)
     done = plain.withColumn("running", F.sum(value).over(within.rowsBetween(BEFORE, 0)))
-    done = done.withColumn("peak", F.max("running").over(within.rowsBetween(BEFORE, 0)))
+    done = done.withColumn("peak", F.max(_at("running", peak_at)).over(within.rowsBetween(BEFORE, 0)))
     done = done.withColumn("peak_before", F.lag("peak").over(within))
     if large is None:
         return done
-    return done.unionByName(_segment_sums(large, keys, order, value, per_key, on))
+    return done.unionByName(_segment_sums(large, keys, order, value, per_key, on, peak_at))
+
+
+def _at(column: str, condition: Column | None) -> Column:
+    return F.col(column) if condition is None else F.when(condition, F.col(column))
 
 
 def _segment_sums(
@@ -152,6 +158,7 @@ def _segment_sums(
     value: str,
     per_key: DataFrame | None,
     on: list[str],
+    peak_at: Column | None = None,
 ) -> DataFrame:
     """The same for hot keys: no task sees more of one than a segment.
 
@@ -160,12 +167,12 @@ def _segment_sums(
     rows = segmented(df, [*keys, *order])
     inside = Window.partitionBy("_seg", *keys).orderBy(*order)
     rows = rows.withColumn("_run", F.sum(value).over(inside.rowsBetween(BEFORE, 0)))
-    rows = rows.withColumn("_peak", F.max("_run").over(inside.rowsBetween(BEFORE, 0)))
+    rows = rows.withColumn("_peak", F.max(_at("_run", peak_at)).over(inside.rowsBetween(BEFORE, 0)))
     rows = rows.withColumn("_peak_before", F.lag("_peak").over(inside))
     earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(BEFORE, -1)
     carried = (
         rows.groupBy("_seg", *keys)
-        .agg(F.sum(value).alias("_sum"), F.max("_run").alias("_top"))
+        .agg(F.sum(value).alias("_sum"), F.max(_at("_run", peak_at)).alias("_top"))
         .withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .withColumn("_base_peak", F.max(F.col("_base") + F.col("_top")).over(earlier))
         .drop("_sum", "_top")

@@ -87,6 +87,98 @@ def allocate_repayments(
     )
 
 
+def _timeline(t, payments: DataFrame, floor: int) -> DataFrame:
+    """Open invoices and payments of every customer on one line of time, with what is paid by whom.
+
+    What a customer owes after an invoice is ``debt + due``, and after a payment ``max(0, debt - amount)``. With the
+    running sum of all that is due less all that was given, the debt is that sum less its least value so far at a
+    payment, or less 0, so that two windows, or segments that hand on a sum and a peak, give it to every row.
+    Money used up to a payment is a level on the line of all that was due; an invoice is filled by the first payment
+    that reaches its own.
+    """
+    bills = unpaid_sales(t).select(
+        "customerID", "createAt", F.lit(BILL).alias("_kind"), F.col("invoiceID").alias("_id"),
+        F.col("total").alias("_due"), "totalPay", F.lit(0).cast(S.MONEY).alias("_given"),
+    )
+    money = payments.select(
+        "customerID", "createAt", F.lit(PAYMENT).alias("_kind"), F.col("rdcID").alias("_id"),
+        F.lit(0).cast(S.MONEY).alias("_due"), F.lit(None).cast(S.MONEY).alias("totalPay"),
+        F.coalesce("amountReturn", F.lit(0)).cast(S.MONEY).alias("_given"),
+    )
+    rows = bills.unionByName(money).withColumns(
+        {
+            "_owed": F.greatest(F.col("_due"), F.lit(0)).cast(S.TOTAL),
+            "_less": (F.col("_given") - F.col("_due")).cast(S.TOTAL),
+            "_payment": F.when(F.col("_kind") == PAYMENT, F.col("_id")),
+        }
+    )
+    hot = hot_keys(rows, ["customerID"], floor)
+    time, paying = ["createAt", "_kind", "_id"], F.col("_kind") == PAYMENT
+    key = ["customerID"]
+    summed = prefix_sums(rows, key, time, "_owed", hot=hot).drop("peak", "peak_before")
+    summed = summed.withColumnRenamed("running", "_billed")
+    summed = prefix_sums(summed, key, time, "_less", hot=hot, peak_at=paying)
+    summed = next_value(summed, key, time, "_payment", "_next_payment", hot)
+    nothing = F.lit(0).cast(S.TOTAL)
+    lost, lost_before = (F.greatest(F.coalesce(c, nothing), nothing) for c in ("peak", "peak_before"))
+    # At a payment: all given so far, credits of overpaid invoices included, less what nobody owed.
+    used = F.col("_billed") + F.col("running") - lost
+    marked = summed.select(
+        *key, "createAt", "_kind", "_id", "_due", "totalPay", "_given", "_payment", "_next_payment", "_billed",
+        F.when(paying, used).alias("_used"),
+        F.when(paying, lost - lost_before).alias("_unused"),
+        F.when(paying, used).otherwise(F.col("_billed")).alias("_level"),
+    )
+    return next_value(marked, key, ["_level", *time], "_payment", "_filler", hot)
+
+
+def allocate_in_time(t, payments: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
+    """Open invoices after payments that each meet only what was open when they were made.
+
+    ``payments`` have the columns of ``return_debt_customer`` and are new: none is in ``totalPay`` yet. A payment
+    fills the oldest open invoices of its customer first and the first it does not suffice for in part; what is
+    left after the last one is not kept for later invoices. An overpaid invoice owes nothing: the next payment
+    settles it and spends its credit too. Invoices of the moment of a payment count as open.
+
+    ``wasl`` and ``rdcID`` tell whether an invoice is filled and by which payment, ``pays`` what it was given.
+    A payment without amount gives nothing; rows without customer belong together.
+    """
+    line = _timeline(t, payments, floor)
+    given = line.groupBy("customerID").agg(F.max("_used").alias("_spent"))
+    bills = line.filter(F.col("_kind") == BILL)
+    spent = bills.join(given.withColumnRenamed("customerID", "_who"), F.col("customerID").eqNullSafe(F.col("_who")), "left")
+    due, level = F.col("_due"), F.col("_billed")
+    overpaid = due < 0
+    reached = F.greatest(F.coalesce("_spent", F.lit(0)) - (level - due), F.lit(0))
+    pays = F.when(overpaid, F.when(F.col("_next_payment").isNotNull(), due).otherwise(0)).otherwise(
+        F.least(due, reached)
+    )
+    filler = F.when(overpaid, F.col("_next_payment")).otherwise(F.col("_filler"))
+    return spent.select(
+        F.col("_id").alias("invoiceID"),
+        "customerID",
+        "createAt",
+        due.alias("due"),
+        pays.cast(S.MONEY).alias("pays"),
+        (F.col("totalPay") + pays).cast(S.MONEY).alias("totalPay"),
+        F.when(filler.isNotNull(), S.YES).otherwise(S.NO).alias("wasl"),
+        filler.alias("rdcID"),
+    )
+
+
+def unused_money(t, payments: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
+    """What of every payment nobody owed at the time, see ``allocate_in_time``.
+
+    It holds what overpaid invoices since the payment before added, so it may exceed the amount.
+    """
+    return _timeline(t, payments, floor).filter(F.col("_kind") == PAYMENT).select(
+        F.col("_id").alias("rdcID"),
+        "customerID",
+        F.col("_given").alias("amount"),
+        F.col("_unused").cast(S.MONEY).alias("unused"),
+    )
+
+
 def settle_listed(t) -> DataFrame:
     """Invoices after the repayments that name them: paid off and marked.
 

@@ -3,10 +3,12 @@
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillbook import schema as S
 from tillbook.functions.shared import new_folder
 from tillbook.operators import allocation, cash, changes, parties, posting, pricing, purchases, sales
 from tillbook.operators import line_edits, reposting
@@ -772,6 +774,55 @@ add(
         from flagged join paid on flagged.customerID = paid.customerID and level >= top
         where full_ group by invoiceID""",
 )
+# Payments among the invoices they pay; a tenth of each total is paid already.
+IN_TIME = {
+    "early_payments": f"""select invoiceID rdcID, customerID, cast(totalPrice * cast(0.7 as decimal(2,1)) as {M}) amount,
+        createAt + to_days((20 + invoiceID % 300)::int) createAt from invoices where invoiceID % 3 = 0""",
+    "part_paid": f"""select invoiceID, customerID, createAt, cast(totalPrice * cast(0.1 as decimal(2,1)) as {M}) totalPay,
+        cast(totalPrice - initialPay - cast(totalPrice * cast(0.1 as decimal(2,1)) as {M}) as {M}) due
+        from invoices where wasl = '0' and stockType = 's'""",
+    "moments": f"""select customerID, createAt, 0 kind, invoiceID id, due, cast(0 as {M}) amount from part_paid
+        union all select customerID, createAt, 1, rdcID, 0, amount from early_payments""",
+    "running_sums": """select *, sum(greatest(due, 0)) over line billed, sum(amount - due) over line given
+        from moments window line as (partition by customerID order by createAt, kind, id
+            rows unbounded preceding)""",
+    "never_owed": """select *, greatest(max(case when kind = 1 then given end) over (partition by customerID
+            order by createAt, kind, id rows unbounded preceding), 0) lost,
+        greatest(coalesce(max(case when kind = 1 then given end) over (partition by customerID
+            order by createAt, kind, id rows between unbounded preceding and 1 preceding), 0), 0) lost_before
+        from running_sums""",
+    "payment_levels": "select *, billed + given - lost used from never_owed where kind = 1",
+    "filled_by": """select b.id invoiceID, arg_min(p.id, {'a': p.createAt, 'b': p.id}) rdcID
+        from never_owed b join payment_levels p on p.customerID = b.customerID
+            and p.createAt >= b.createAt and (b.due < 0 or p.used >= b.billed)
+        where b.kind = 0 group by b.id""",
+}
+
+
+def part_paid(t: Tables) -> Tables:
+    paid = (F.col("totalPrice") * F.lit(Decimal("0.1"))).cast(S.MONEY)
+    return t.replaced(invoices=t.invoices.withColumn("totalPay", paid))
+
+
+add(
+    "allocate_in_time",
+    lambda t: allocation.allocate_in_time(part_paid(t), t.early_payments),
+    f"""select b.id invoiceID, b.customerID, b.createAt, b.due, cast(pays as {M}) pays,
+        cast(totalPay + pays as {M}) totalPay, case when rdcID is null then '0' else '1' end wasl, rdcID
+    from (select id, customerID, createAt, due, case when due < 0 then case when rdcID is null then 0 else due end
+            else least(due, greatest(coalesce(spent, 0) - (billed - due), 0)) end pays, rdcID
+        from never_owed left join filled_by on id = invoiceID
+        left join (select customerID, max(used) spent from payment_levels group by customerID) using (customerID)
+        where kind = 0) b join part_paid on b.id = part_paid.invoiceID""",
+    **IN_TIME,
+)
+add(
+    "unused_money",
+    lambda t: allocation.unused_money(part_paid(t), t.early_payments),
+    f"""select id rdcID, customerID, amount, cast(lost - lost_before as {M}) unused from never_owed
+    where kind = 1""",
+    **IN_TIME,
+)
 add(
     "settle_listed",
     allocation.settle_listed,

@@ -516,6 +516,13 @@ def load(spark: SparkSession, folder: str) -> Tables:
         edits = [f"cast(previousBalance + 10 as {S.MONEY}) previousBalance"]
         return log_of(t.suppliers, "supplierID", edits, gone="is null")
 
+    def early_payments(t: Tables):
+        """Payments made while invoices still come in: some days after every third of them."""
+        return t.invoices.filter("invoiceID % 3 = 0").selectExpr(
+            "invoiceID rdcID", "customerID", f"cast(totalPrice * 0.7 as {S.MONEY}) amountReturn",
+            "createAt + make_interval(0, 0, 0, 20 + invoiceID % 300) createAt",
+        )
+
     def edits_of(lines, key: str):
         """One event for some lines, and items added to some documents afterwards."""
         kinds = ["inc", "qty", "price", "delete", "dec", "cost"]
@@ -574,6 +581,7 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "customer_log": customer_log,
             "invoice_log": invoice_log,
             "expense_log": expense_log,
+            "early_payments": early_payments,
             "sales_edits": sales_edits,
             "purchase_edits": purchase_edits,
             "purchase_log": purchase_log,
