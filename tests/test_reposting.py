@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook import schema as S
+from tillbook.functions.files import Files
 from tillbook.operators import posting, reposting
 from tillbook.sources.ledgers import DayLedger
 
@@ -122,7 +123,7 @@ def test_a_replacement_that_was_cut_short_is_finished_by_the_next_reader(spark,
     want = sorted((i, q * 2 if d == str(two) else q, d) for i, q, d in rows if d != str(one))
     with monkeypatch.context() as cut:
         # Cut short once more: the days without rows are still there.
-        cut.setattr(DayLedger, "_remove", lambda self, path: (_ for _ in ()).throw(OSError("cut")))
+        cut.setattr(Files, "remove", lambda self, path: (_ for _ in ()).throw(OSError("cut")))
         with pytest.raises(OSError, match="cut"):
             ledger.finish()
     other = DayLedger(spark, ledger.path, spark.createDataFrame([], ledger.schema).drop("day").schema)

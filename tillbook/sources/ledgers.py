@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillbook.functions.files import Files
+
 # Names that begin with an underscore are not read as part of the ledger.
 PENDING = "_pending"
 # Fixed value: Spark's folder for rows without a day.
@@ -26,23 +28,10 @@ class DayLedger:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, day_of: str = "createAt"):
         self.spark, self.path, self.day_of = spark, path.rstrip("/"), day_of
+        self.files = Files(spark)
         self.schema = T.StructType([*schema, T.StructField("day", T.DateType())])
         self.pending = f"{self.path}/{PENDING}"
 
-    # Files of the store that holds the ledger.
-
-    def _files(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
-
-    def _exists(self, path: str) -> bool:
-        files, place = self._files(path)
-        return files.exists(place)
-
-    def _remove(self, path: str) -> None:
-        files, place = self._files(path)
-        files.delete(place, True)
-
     def write(self, rows: DataFrame) -> None:
         """Stores a whole ledger. Busy days are spread over several tasks, quiet ones put together."""
         self._with_day(rows).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
@@ -71,7 +60,7 @@ class DayLedger:
         strange = F.when(among(days), F.col("day")).otherwise(
             F.raise_error(F.concat(F.lit("a row outside the days to replace: "), F.col("day").cast("string")))
         )
-        self._remove(self.pending)
+        self.files.remove(self.pending)
         (
             new.withColumn("day", strange.cast("date"))
             .hint("rebalance", "day")
@@ -83,7 +72,7 @@ class DayLedger:
 
     def finish(self) -> bool:
         """Finishes a replacement that was begun; tells whether there was one."""
-        if not self._exists(f"{self.pending}/days/_SUCCESS"):
+        if not self.files.exists(f"{self.pending}/days/_SUCCESS"):
             return False
         rows = self.spark.read.schema(self.schema).parquet(f"{self.pending}/rows")
         days = [r["day"] for r in self.spark.read.schema("day date").parquet(f"{self.pending}/days").collect()]
@@ -97,8 +86,8 @@ class DayLedger:
         )
         for day in days:
             if day not in filled:
-                self._remove(f"{self.path}/day={NO_DAY if day is None else day.isoformat()}")
-        self._remove(self.pending)
+                self.files.remove(f"{self.path}/day={NO_DAY if day is None else day.isoformat()}")
+        self.files.remove(self.pending)
         return True
 
     def _rows(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams over line events (event_id, ts, sourceID, sourceType, itemID, qty, price, cost).
 
-Results that change over time are kept as a log: each micro-batch writes its
-changed rows into its own folder, so a batch that is run again replaces itself.
+Results that change over time are kept as a ``StateLog``: each micro-batch adds its changed rows, a
+batch that is run again counts once, and folders are merged so that the log stays short.
 The current state is the row of the latest batch per key.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tillbook import schema as S
 from tillbook.functions.shared import new_folder
 from tillbook.sources.retail import RAW
+from tillbook.streaming.state_log import StateLog
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """The events of a folder as a stream. Watermarks need a zoned timestamp, so ``ts`` is cast."""
@@ -68,9 +69,13 @@ def stream_post_stock(lines: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_daily_sales(lines: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Value moved per day and kind; a day stays open for late rows until the delay has passed."""
+    """Value moved per day and kind; a day stays open for late rows until the delay has passed.
+
+    An event delivered twice within the delay counts once.
+    """
     return (
         lines.withWatermark("ts", delay)
+        .dropDuplicatesWithinWatermark(["event_id"])
         .groupBy(F.window("ts", "1 day").alias("_day"), "sourceType")
         .agg(
             F.sum("itemPrice").cast(S.TOTAL).alias("total"),
@@ -117,21 +122,9 @@ def keep_latest(
     ``checkpoint`` and ``target`` as in ``append_to_files``. A stream without input gives no rows.
     """
     checkpoint, target = _places(spark, checkpoint, target)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    # The log has a batch without rows from the start, so that it can be read in any case.
-    write(spark.createDataFrame([], stream.schema), -1)
-    _drain(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
-    rest = [c for c in stream.columns if c not in keys]
-    return (
-        spark.read.schema(stream.schema)
-        .parquet(target)
-        .groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-        .select(*keys, "_row.*")
-    )
+    log = StateLog(spark, target, keys, stream.schema)
+    _drain(stream.writeStream.outputMode("update").foreachBatch(log.append), checkpoint)
+    return log.read()
 
 
 def _places(spark: SparkSession, checkpoint: str | None, target: str | None) -> tuple[str, str]:
