@@ -1,6 +1,7 @@
 """Distributed order, hot keys, nested documents."""
 
 import random
+import re
 
 import pytest
 from conftest import dicts
@@ -32,6 +33,37 @@ def test_descending_slice(spark, step):
         assert got == ids[::-1][skip : skip + size]
 
 
+@pytest.mark.parametrize("step", [1, 100_000])
+def test_a_page_ranks_only_the_ranges_it_meets(spark, step):
+    ids = [n * step for n in range(4000)]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id bigint")
+    ranges = ordered.Ranges(df, "id")
+    largest = max(count for _, count, _, _ in ranges.counted)
+    assert len(ranges.counted) == 8 and largest < 2 * len(ids) / 8
+    page = ranges.page(2100, 20)
+    assert sorted((r["id"] for r in page.collect()), reverse=True) == ids[::-1][2100:2120]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_range" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # At most the page and a range on either side of it.
+    met = [c for n, c, _, _ in ranges.counted if f"_range#" in plan and n in asked(plan)]
+    assert 1 <= len(met) <= 2 and sum(met) <= 20 + 2 * largest
+    assert "Broadcast" not in plan or "ResolvedHint" not in page._jdf.queryExecution().analyzed().toString()
+
+
+def asked(plan):
+    """Numbers of the ranges that a plan's partition filter names."""
+    named = plan.split("PartitionFilters: [")[1].split("]")[0]
+    return {int(n) for n in re.findall(r"(?:= |IN \(|,)(\d+)", named)}
+
+
+def test_ranges_of_nothing_and_of_one_id(spark):
+    none = ordered.Ranges(spark.createDataFrame([(None,)], "id bigint"), "id")
+    assert none.page(0, 5).collect() == [] == none.linked("b", "a").collect()
+    one = ordered.Ranges(spark.createDataFrame([(7,)], "id bigint"), "id")
+    assert [tuple(r) for r in one.linked("b", "a").collect()] == [(7, None, None)]
+    assert [r["id"] for r in one.page(0, 5).collect()] == [7] and one.page(1, 5).collect() == []
+
+
 def test_prefix_sums_of_one_huge_key(spark):
     chance = random.Random(5)
     rows = [(0 if n % 3 else n, n % 7, n, chance.randrange(-5, 9)) for n in range(4000)]

@@ -1,10 +1,9 @@
 """Order-dependent work that must not run in one task.
 
-Two tools. For a unique integer id, rows are cut into blocks of consecutive ids;
-blocks are summed up into blocks of blocks until few remain, and what a block
-needs from its neighbours comes back down by joins. For any other order within a
+Two tools. Unique ids are cut into evenly filled ranges and each range is counted, which gives the place of
+any id from the few counts before its range and its rank inside it. For any other order within a
 key, an ordinary key is a plain window; the rows of a hot key are range partitioned
-and the partition number is the block. That cut depends on a sample, so it is made
+and the partition number is the segment. Either cut depends on a sample, so it is made
 once and written to the shared folder before it is used.
 """
 
@@ -12,92 +11,85 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tillbook.functions.shared import stored
-
-# 65,536 ids to a block; three levels leave at most 2**15 blocks for any 64-bit id.
-BLOCK_BITS = 16
-LEVELS = 3
+from tillbook.functions.shared import new_folder, stored
 
 BEFORE = Window.unboundedPreceding
 AFTER = Window.unboundedFollowing
 
+RANGE = "_range"
 
-def _block_window(level: int):
-    return Window.partitionBy("_up").orderBy("_pos") if level else Window.orderBy("_pos")
 
+class Ranges:
+    """Unique ids in evenly filled ranges, whatever lies between them: an equi-depth histogram of the ids.
 
-def _linked(blocks: DataFrame, level: int) -> DataFrame:
-    """blocks(_pos, _low, _high) -> with _prev, the id before the block, and _next, the one after."""
-    if level:
-        blocks = blocks.withColumn("_up", F.shiftright("_pos", BLOCK_BITS))
-    window = _block_window(level)
-    here = blocks.withColumn("_prev", F.lag("_high").over(window)).withColumn(
-        "_next", F.lead("_low").over(window)
-    )
-    if not level:
-        return here
-    above = blocks.groupBy("_up").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-    above = _linked(above.withColumnRenamed("_up", "_pos"), level - 1).select(
-        F.col("_pos").alias("_up"), F.col("_prev").alias("_up_prev"), F.col("_next").alias("_up_next")
-    )
-    return (
-        here.join(above, "_up", "left")
-        .withColumn("_prev", F.coalesce("_prev", "_up_prev"))
-        .withColumn("_next", F.coalesce("_next", "_up_next"))
-        .drop("_up", "_up_prev", "_up_next")
-    )
+    The ids are range partitioned and written once, a folder a range; there are as many ranges as shuffle
+    partitions, and of each the number of ids and the least and largest one are kept here. A page then reads the ranges
+    it meets and ranks their ids alone. Rows without id have no place.
+    """
 
+    def __init__(self, ids: DataFrame, key: str):
+        self.spark, self.key = ids.sparkSession, key
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = new_folder(self.spark, "ranges")
+        cut = ids.select(key).filter(F.col(key).isNotNull()).repartitionByRange(parts, key)
+        cut.withColumn(RANGE, F.spark_partition_id()).write.partitionBy(RANGE).parquet(self.folder)
+        schema = StructType([ids.schema[key], StructField(RANGE, IntegerType())])
+        self.rows = self.spark.read.schema(schema).parquet(self.folder)
+        counted = self.rows.groupBy(RANGE).agg(F.count(key), F.min(key), F.max(key)).collect()
+        # (range, ids, least, largest), in order: one row a range.
+        self.counted = sorted(tuple(r) for r in counted)
+
+    def page(self, skip: int, size: int) -> DataFrame:
+        """The ids at places skip .. skip + size - 1, largest first."""
+        met, before = [], 0
+        for number, count, _, _ in reversed(self.counted):
+            if before < skip + size and before + count > skip:
+                met.append((number, before))
+            before += count
+        inside = Window.partitionBy(RANGE).orderBy(F.desc(self.key))
+        starts = self.spark.createDataFrame(met, f"{RANGE} int, _before bigint")
+        place = F.col("_before") + F.row_number().over(inside) - 1
+        return (
+            self.rows.filter(F.col(RANGE).isin([number for number, _ in met]))
+            .join(starts, RANGE)
+            .withColumn("_place", place)
+            .filter((F.col("_place") >= skip) & (F.col("_place") < skip + size))
+            .select(self.key)
+        )
 
-def neighbours(ids: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """Each unique id with the next smaller and the next larger one."""
-    rows = ids.select(
-        F.col(key).alias("_pos"), F.col(key).alias("_low"), F.col(key).alias("_high")
-    )
-    return _linked(rows, LEVELS).select(
-        F.col("_pos").alias(key), F.col("_prev").alias(before), F.col("_next").alias(after)
-    )
+    def linked(self, before: str, after: str) -> DataFrame:
+        """Every id with the next smaller and the next larger one."""
+        ends = [
+            (
+                number,
+                self.counted[at - 1][3] if at else None,
+                self.counted[at + 1][2] if at + 1 < len(self.counted) else None,
+            )
+            for at, (number, _, _, _) in enumerate(self.counted)
+        ]
+        kind = self.rows.schema[self.key].dataType.simpleString()
+        edges = self.spark.createDataFrame(ends, f"{RANGE} int, _under {kind}, _over {kind}")
+        inside = Window.partitionBy(RANGE).orderBy(self.key)
+        return self.rows.join(edges, RANGE).select(
+            self.key,
+            F.coalesce(F.lag(self.key).over(inside), "_under").alias(before),
+            F.coalesce(F.lead(self.key).over(inside), "_over").alias(after),
+        )
 
 
-def _counted(blocks: DataFrame, level: int) -> DataFrame:
-    """blocks(_pos, _n) -> with _before, the number of rows in all blocks of lower position."""
-    if level:
-        blocks = blocks.withColumn("_up", F.shiftright("_pos", BLOCK_BITS))
-    window = _block_window(level).rowsBetween(BEFORE, -1)
-    here = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(window), F.lit(0)))
-    if not level:
-        return here
-    above = blocks.groupBy("_up").agg(F.sum("_n").alias("_n"))
-    above = _counted(above.withColumnRenamed("_up", "_pos"), level - 1).select(
-        F.col("_pos").alias("_up"), F.col("_before").alias("_up_before")
-    )
-    return (
-        here.join(above, "_up", "left")
-        .withColumn("_before", F.col("_before") + F.col("_up_before"))
-        .drop("_up", "_up_before")
-    )
+def neighbours(ids: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """Each unique id with the next smaller and the next larger one."""
+    return Ranges(ids, key).linked(before, after)
 
 
 def descending_slice(df: DataFrame, key: str, skip: int, size: int) -> DataFrame:
     """The unique ids at places skip .. skip + size - 1, largest first.
 
-    Blocks are counted and placed first. Only rows of blocks that reach into the
-    slice are ranked; as no block is empty there are at most size + 1 of those.
+    For several pages of the same ids, keep ``Ranges`` and ask it.
     """
-    rows = df.select((-F.col(key)).alias("_pos")).withColumn("_up", F.shiftright("_pos", BLOCK_BITS))
-    blocks = rows.groupBy(F.col("_up").alias("_pos")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = _counted(blocks, LEVELS - 1)
-    reached = placed.filter(
-        (F.col("_before") < skip + size) & (F.col("_before") + F.col("_n") > skip)
-    ).select(F.col("_pos").alias("_up"), "_before")
-    inside = Window.partitionBy("_up").orderBy("_pos")
-    place = F.col("_before") + F.row_number().over(inside) - 1
-    return (
-        rows.join(F.broadcast(reached), "_up")
-        .withColumn("_place", place)
-        .filter((F.col("_place") >= skip) & (F.col("_place") < skip + size))
-        .select((-F.col("_pos")).alias(key))
-    )
+    return Ranges(df, key).page(skip, size)
 
 
 def segmented(df: DataFrame, order: Sequence[str]) -> DataFrame:

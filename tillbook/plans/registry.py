@@ -18,7 +18,7 @@ from tillbook.session import ready
 from tillbook.sources import retail
 from tillbook.sources.ledgers import DayLedger
 from tillbook.sources.tables import Tables
-from tillbook.streaming import streams
+from tillbook.streaming import alerts, streams
 
 DAY = "1998-06-15"
 FIRST, LAST = "1998-01-01", "1998-12-31"
@@ -1231,7 +1231,27 @@ def run_low_stock(spark: SparkSession, folder: str) -> DataFrame:
     return streams.low_stock(on_hand, t.items, t.stock.select("itemID", "qty"))
 
 
+def run_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    t = retail.load(spark, folder)
+    found = alerts.LowStockAlerts(spark, t.items, t.stock.select("itemID", "qty"))
+    return found.drain(_posted(spark, folder)).drop("ts")
+
+
 STREAMS = {
+    "stream_alerts": StreamQuery(
+        run_alerts,
+        sql(
+            """select itemID, event_id, case when after <= stockAlert then 'low' else 'enough' end kind,
+                totalInStock, stockAlert
+            from (select *, cast(after as bigint) totalInStock from running_stock)
+            where (after <= stockAlert) <> (after - qty <= stockAlert)""",
+            running_stock="""select moves.itemID, event_id, moves.qty, stockAlert, coalesce(opening, 0)
+                + sum(moves.qty) over (partition by moves.itemID order by ts, event_id) as after
+                from moves join items on items.itemID = moves.itemID and deleteStatus = '1'
+                left join (select itemID, sum(qty) opening from stock group by itemID) o
+                    on o.itemID = moves.itemID""",
+        ),
+    ),
     "stream_post_stock": StreamQuery(
         run_post_stock,
         sql("select event_id, sourceType, itemID, qty, amount itemPrice from moves"),
