@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillbook import schema as S
 from tillbook.functions.shared import new_folder
 from tillbook.operators import allocation, cash, changes, parties, posting, pricing, purchases, sales
-from tillbook.operators import line_edits, reposting
+from tillbook.operators import line_edits, lists, reposting, text_search
 from tillbook.operators import stock as stock_ops
 from tillbook.plans.oracle import TABLES, C, M, T, sql
 from tillbook.session import ready
@@ -383,6 +383,32 @@ add(
     where deleteStatus = '1'""",
     terms=TERMS,
 )
+def many_patterns(t: Tables) -> DataFrame:
+    """A pattern from every item: some of its letters, in capitals for some."""
+    return t.items.selectExpr(
+        """case when itemID % 3 = 0 then substr(itemName, itemID % 7 + 1, itemID % 4 + 2)
+            when itemID % 3 = 1 then upper(substr(itemName, 2, 5)) else substr(itemCode, 2, 3) end pattern"""
+    )
+
+
+MANY_PATTERNS = {
+    "patterns": """select distinct lower(case when itemID % 3 = 0 then substr(itemName, itemID % 7 + 1, itemID % 4 + 2)
+        when itemID % 3 = 1 then upper(substr(itemName, 2, 5)) else substr(itemCode, 2, 3) end) pattern from items""",
+}
+FOUND = """select pattern, itemID, itemCode, itemName, costPrice, itemPriceRetail, itemPriceWhole, perUnit
+    from patterns join items on {0}(lower(itemCode), pattern) or {0}(lower(itemName), pattern) where pattern <> ''"""
+add(
+    "item_search_many",
+    lambda t: text_search.ItemIndex(t.items).search(many_patterns(t)),
+    FOUND.format("contains"),
+    **MANY_PATTERNS,
+)
+add(
+    "item_search_many_prefix",
+    lambda t: text_search.ItemIndex(t.items).search(many_patterns(t), prefix=True),
+    FOUND.format("starts_with"),
+    **MANY_PATTERNS,
+)
 add(
     "item_search",
     lambda t: stock_ops.item_search(t, ["RED", "gear 1", "p12"]),
@@ -745,6 +771,57 @@ add(
     from return_debt_customer""",
 )
 
+def list_changes(t: Tables, side: lists.Listing) -> DataFrame:
+    """Each listed document is taken out by some repayments, and appended to the next repayment by others."""
+    held = lists.bridge(t, side).select(side.key, side.document)
+    gone = held.filter(f"({side.key} + {side.document}) % 3 <> 0").selectExpr(
+        side.key, side.document, "'remove' change", "1L seq"
+    )
+    added = held.filter(f"({side.key} + {side.document}) % 5 = 0").selectExpr(
+        f"{side.key} + 1 {side.key}", side.document, "'append' change", "2L seq"
+    )
+    return gone.unionByName(added)
+
+
+def add_lists(side: lists.Listing) -> None:
+    key, doc = side.key, side.document
+    texts = {
+        "held": f"""select {key}, cast(trim(id) as bigint) {doc}, count(*) times from (
+            select {key}, unnest(string_split({side.column}, ',')) id from {side.repayments}
+            where {side.column} is not null) where trim(id) <> '' group by all""",
+        "after_change": f"""select {key}, {doc}, cast(sum(times) as bigint) times from (
+            select * from held where ({key} + {doc}) % 3 = 0
+            union all select {key} + 1, {doc}, 1 from held where ({key} + {doc}) % 5 = 0) group by all""",
+    }
+
+    def after(t: Tables) -> DataFrame:
+        return lists.merged(lists.bridge(t, side), list_changes(t, side), side)
+
+    add(f"bridge_{side.documents}", lambda t: lists.bridge(t, side), "select * from held", **texts)
+    add(f"append_and_unlist_{side.documents}", after, "select * from after_change", **texts)
+    add(
+        f"{side.documents}_after_unlist",
+        lambda t: lists.with_status(t, side, lists.bridge(t, side), after(t)).select(doc, side.status),
+        f"""select {doc}, case when b.{doc} is null and a.{doc} is null then {side.status}
+            when b.{doc} is not null and a.{doc} is null then '{side.reopened}'
+            when b.{doc} is null then '{side.settled}' else {side.status} end {side.status}
+        from {side.documents} left join (select distinct {doc} from held) b using ({doc})
+        left join (select distinct {doc} from after_change) a using ({doc})""",
+        **texts,
+    )
+    add(
+        f"lists_of_{side.documents}",
+        lambda t: lists.as_lists(t, side, after(t)).select(key, side.column),
+        f"""select {key}, ids {side.column} from {side.repayments} left join (
+            select {key}, string_agg(repeat(concat(',', {doc}), times::int), '' order by {doc})[2:] ids
+            from after_change group by {key}) using ({key})""",
+        **texts,
+    )
+
+
+add_lists(lists.SUPPLIERS)
+add_lists(lists.CUSTOMERS)
+
 # --- Logs ------------------------------------------------------------------------
 
 add(
@@ -849,6 +926,30 @@ add(
     from discounts join (select date '1997-01-10' + n::int as day from range(55) r(n))
         on day >= startDate and day < endDate group by itemID, day""",
 )
+add(
+    "price_pieces",
+    lambda t: pricing.price_pieces(t),
+    """select itemID, fromDate, max(toDate) toDate, dID, effectivePrice from (
+        select *, min(day) over (partition by itemID, dID, day - n::int) fromDate,
+            max(day + 1) over (partition by itemID, dID, day - n::int) toDate
+        from (select *, row_number() over (partition by itemID, dID order by day) n from won))
+    group by itemID, fromDate, dID, effectivePrice""",
+    won="""select itemID, cast(day as date) as day, arg_max(dID, {'a': startDate, 'b': dID}) dID,
+        arg_max(priceAfterDiscount, {'a': startDate, 'b': dID}) effectivePrice
+        from (select *, unnest(range(startDate, endDate, interval 1 day)) as day from discounts)
+        group by itemID, day""",
+)
+add(
+    "sold_at_discount",
+    lambda t: pricing.prices_on(
+        t, t.stock.filter(F.col("sourceType") == "s").select("sourceID", "itemID", "createAt"), "createAt"
+    ).filter(F.col("dID").isNotNull()),
+    """select sourceID, s.itemID, s.createAt, arg_max(priceAfterDiscount, {'a': startDate, 'b': dID}) effectivePrice,
+        arg_max(dID, {'a': startDate, 'b': dID}) dID
+    from stock s join discounts d on s.itemID = d.itemID and cast(s.createAt as date) >= startDate
+        and cast(s.createAt as date) < endDate
+    where sourceType = 's' group by all""",
+)
 add(
     "discount_states",
     lambda t: pricing.discount_states(t, PROMO_DAY),
