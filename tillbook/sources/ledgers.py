@@ -6,7 +6,7 @@ replacement can be finished by whoever opens the ledger next, any number of time
 """
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,19 +24,32 @@ Days = Iterable[dt.date | None]
 
 
 class DayLedger:
-    """``schema`` is that of the rows without ``day``, the day of ``day_of``."""
+    """``schema`` is that of the rows without ``day``, the day of ``day_of``.
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, day_of: str = "createAt"):
+    The rows of a file are sorted by ``sorted_by``, so that its row groups hold narrow ranges of these columns, and
+    files carry Bloom filters of the columns in ``filters``, where these have too many values for a dictionary:
+    reports of one item or document skip what cannot hold it, within the days they read.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType, day_of: str = "createAt",
+        sorted_by: Sequence[str] = (), filters: Sequence[str] = (),
+    ):
         self.spark, self.path, self.day_of = spark, path.rstrip("/"), day_of
         self.files = Files(spark)
+        self.sorted_by = list(sorted_by)
+        self.options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in filters}
         self.schema = T.StructType([*schema, T.StructField("day", T.DateType())])
         self.pending = f"{self.path}/{PENDING}"
 
     def write(self, rows: DataFrame) -> None:
         """Stores a whole ledger. Busy days are spread over several tasks, quiet ones put together."""
-        self._with_day(rows).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
-            self.path
-        )
+        dealt = self._dealt(self._with_day(rows))
+        dealt.write.mode("overwrite").options(**self.options).partitionBy("day").parquet(self.path)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        dealt = rows.hint("rebalance", "day")
+        return dealt.sortWithinPartitions("day", *self.sorted_by) if self.sorted_by else dealt
 
     def read(self) -> DataFrame:
         """All rows, with ``day``. A replacement that is whole but not finished is finished first."""
@@ -78,8 +91,9 @@ class DayLedger:
         days = [r["day"] for r in self.spark.read.schema("day date").parquet(f"{self.pending}/days").collect()]
         filled = {r["day"] for r in rows.select("day").distinct().collect()}
         (
-            rows.hint("rebalance", "day")
+            self._dealt(rows)
             .write.mode("overwrite")
+            .options(**self.options)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("day")
             .parquet(self.path)

@@ -1,6 +1,6 @@
 """The ``Tables`` container, its loaders, and the Parquet sink."""
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +83,17 @@ def from_jdbc(
     return Tables({name: reader(name) for name in S.TABLES})
 
 
-def conformed(df: DataFrame, name: str) -> DataFrame:
-    """Only the declared columns, in the declared types."""
+def conformed(df: DataFrame, name: str, absent: Collection[str] | None = None) -> DataFrame:
+    """Only the declared columns, in the declared types.
+
+    Columns that ``df`` lacks become NULL. If ``absent`` is given, only those it names may be
+    lacking, and any other is an error that names it.
+    """
+    if absent is not None:
+        there = {column.lower() for column in df.columns} | {column.lower() for column in absent}
+        lacking = [c for c in columns_of(name) if STORED_AS.get(c, c).lower() not in there and c.lower() not in there]
+        if lacking:
+            raise ValueError(f"table {name} lacks {', '.join(lacking)}")
     target = df.sparkSession.createDataFrame([], S.TABLES[name]).schema
     present = {column.lower(): column for column in df.columns}
     columns = []
