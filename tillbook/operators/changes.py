@@ -47,6 +47,69 @@ def apply_changes(
     )
 
 
+# Columns of an item that an update sets; its image and its deletion are changes of their own.
+ITEM_UPDATE = (
+    "itemCode", "itemName", "categoryID", "brandID", "shelfID", "unitID", "perUnit", "costPrice",
+    "itemPriceRetail", "itemPriceWhole", "stockAlert", "hideInStock", "showButton", "note",
+)
+
+
+def item_changes(log: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Items after a log of inserts, updates, patches (new prices, say) and deletions.
+
+    A deleted item keeps its row, with ``deleteStatus`` 0, as documents go on naming it; a later insert, or a patch of
+    ``deleteStatus``, brings it back. A pack holds one unit at least. Where an update leaves out whether the item
+    is hidden in stock or has a button, it is shown and has none.
+    """
+    gone = F.col("op") == DELETE
+    update = F.col("op") == UPDATE
+    kept = {
+        "op": F.when(gone, PATCH).otherwise(F.col("op")),
+        "perUnit": F.when(update | (F.col("op") == INSERT) | F.col("perUnit").isNotNull(), F.greatest("perUnit", F.lit(1))),
+        "hideInStock": F.when(update, F.coalesce("hideInStock", F.lit(S.YES))).otherwise(F.col("hideInStock")),
+        "showButton": F.when(update, F.coalesce("showButton", F.lit(S.NO))).otherwise(F.col("showButton")),
+        "deleteStatus": F.when(gone, S.NO).otherwise(F.col("deleteStatus")),
+    }
+    # What a deletion carries besides its status changes nothing.
+    rest = {c: F.when(~gone, F.coalesce(kept[c], F.col(c)) if c in kept else F.col(c)) for c in columns if c != "deleteStatus"}
+    plain = log.withColumns({**rest, "op": kept["op"], "deleteStatus": kept["deleteStatus"]})
+    return apply_changes(plain, "itemID", columns, full=ITEM_UPDATE)
+
+
+def close_invoices(t, closings: DataFrame) -> DataFrame:
+    """Invoices after some were closed, with the columns of ``t.invoices``.
+
+    ``closings`` name what a closing sets: customer, total, payments, discount, type, and who closed it. Without
+    customer it is the walk-in's, without amounts they are 0, without type it is a cash sale. A cash invoice is settled, and
+    so is one that is paid in full; any other is open. The last closing of an invoice, by ``seq``, counts.
+    """
+    sets = {
+        "customerID": F.lit(S.WALK_IN), "totalPrice": F.lit(0), "initialPay": F.lit(0), "totalPayIQD": F.lit(0),
+        "discount": F.lit(0), "stockType": F.lit(S.SALE), "invoiceType": F.lit(S.CASH), "userIDUpdate": F.lit(None),
+    }
+    last = closings.groupBy("invoiceID").agg(
+        F.max_by(F.struct(*sets, "totalPay"), "seq").alias("_closing")
+    )
+    rows = t.invoices.join(last, "invoiceID", "left")
+    closed = F.col("_closing").isNotNull()
+    said = {c: F.coalesce(F.col(f"_closing.{c}"), default) for c, default in sets.items()}
+    cash = said["invoiceType"] == S.CASH
+    paid = F.coalesce(F.col("_closing.totalPay"), F.lit(0)) == said["totalPrice"]
+    now = {
+        **said,
+        "sellStatus": F.lit(S.YES),
+        "wasl": F.when(cash | paid, S.YES).otherwise(S.NO),
+    }
+    return rows.select(
+        *[
+            (F.when(closed, now[f.name]).otherwise(F.col(f.name)) if f.name in now else F.col(f.name))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in t.invoices.schema
+        ]
+    )
+
+
 def merge_invoice_lines(t, adds: DataFrame) -> DataFrame:
     """Scanned items (invoiceID, itemID, seq, whole) merged to one line per item.
 

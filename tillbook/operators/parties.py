@@ -353,6 +353,30 @@ def partner_statement(t, first: Day, last: Day) -> DataFrame:
     )
 
 
+def partner_statement_counted(t, first: Day, last: Day) -> DataFrame:
+    """Party ledger rows of names that are both supplier and customer, each once.
+
+    ``pairs`` is how many pairs of supplier and customer share the name, which is how often ``partner_statement``
+    repeats the row; sums over a statement weigh rows by it, and no row is copied. A name that is held by very many
+    partners so costs one row a ledger row, whatever the product of their numbers.
+    """
+    suppliers = t.suppliers.groupBy(name_key(F.col("supplierName")).alias("_name")).agg(
+        F.count(F.lit(1)).alias("_suppliers")
+    )
+    customers = t.customers.groupBy(name_key(F.col("customerName")).alias("_name")).agg(
+        F.count(F.lit(1)).alias("_customers")
+    )
+    pairs = suppliers.join(customers, "_name").select(
+        "_name", (F.col("_suppliers") * F.col("_customers")).cast("bigint").alias("pairs")
+    )
+    return (
+        of_days(t.transactions, first, last)
+        .withColumn("_name", name_key(F.col("accountName")))
+        .join(pairs, "_name")
+        .select(*STATEMENT, "pairs")
+    )
+
+
 def partner_names(t) -> DataFrame:
     """Names that are both supplier and customer and have ledger rows."""
     return (

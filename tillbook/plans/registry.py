@@ -1301,6 +1301,100 @@ def add_edited(name: str, side: line_edits.Side, events: str, edited: dict[str,
 add_edited("sales", line_edits.SALES, "sales_edits", SALES_EDITED)
 add_edited("purchases", line_edits.PURCHASES, "purchase_edits", PURCHASES_EDITED)
 
+# --- Closing, items, and the narrow forms of reports ------------------------------
+
+add(
+    "close_invoices",
+    lambda t: changes.close_invoices(t, t.closings),
+    f"""select invoices.* replace (
+        case when c then case when invoiceID % 10 = 1 then 1 else customerID end else customerID end as customerID,
+        cast(case when c then totalPrice * 2 else totalPrice end as {M}) as totalPrice,
+        cast(case when not c then initialPay when invoiceID % 4 = 1 then totalPrice else 0 end as {M}) as initialPay,
+        cast(case when c then invoiceID % 3 * 1000 else totalPayIQD end as decimal(18,2)) as totalPayIQD,
+        cast(case when c then 0 else discount end as {M}) as discount,
+        case when c then case when invoiceID % 6 = 1 then 'rs' else 's' end else stockType end as stockType,
+        case when c then '1' else sellStatus end as sellStatus,
+        case when not c then invoiceType when invoiceID % 14 = 1 or invoiceID % 4 <> 1 then 'c' else 'd' end
+            as invoiceType,
+        case when not c then wasl when invoiceID % 14 = 1 or invoiceID % 4 <> 1 or invoiceID % 8 = 1 then '1'
+            else '0' end as wasl,
+        case when c then invoiceID % 25 else userIDUpdate end as userIDUpdate)
+    from (select *, sellStatus = '0' and invoiceID % 2 = 1 c from invoices) invoices""".replace(
+        "select invoices.* replace", "select invoices.* exclude (c) replace"
+    ),
+)
+add(
+    "apply_item_changes",
+    lambda t: changes.item_changes(t.item_log, [c for c in t.items.columns if c != "itemID"]),
+    f"""select items.* replace (
+        case when itemID % 6 = 1 then concat(itemName, ' new') else itemName end as itemName,
+        case when itemID % 6 = 1 then null else categoryID end as categoryID,
+        case when itemID % 6 = 1 then null else brandID end as brandID,
+        case when itemID % 6 = 1 then null else unitID end as unitID,
+        case when itemID % 6 = 1 then 1 else greatest(perUnit, 1) end as perUnit,
+        cast(case when itemID % 4 = 1 and itemID % 6 <> 1 then itemPriceRetail * 2 else itemPriceRetail end as {M})
+            as itemPriceRetail,
+        cast(case when itemID % 4 = 1 and itemID % 6 <> 1 then itemPriceWhole * 2 else itemPriceWhole end as {M})
+            as itemPriceWhole,
+        case when itemID % 6 = 1 then '1' else hideInStock end as hideInStock,
+        case when itemID % 6 = 1 then '0' else showButton end as showButton,
+        case when itemID % 18 = 1 then '1' when itemID % 9 = 1 then '0' else deleteStatus end as deleteStatus)
+    from items""",
+)
+add(
+    "partner_statement_counted",
+    lambda t: parties.partner_statement_counted(t, FIRST, LAST),
+    f"""select sourceID, sourceType, accountName, accountType, totalPrice, totalPay, totalPayIQD,
+        transactionType, x.createAt, pairs from transactions x
+    join (select supplierName, count(*) pairs from suppliers join customers
+        on lower(trim(supplierName)) = lower(trim(customerName)) group by supplierName) p on supplierName = accountName
+    where cast(x.createAt as date) between date '{FIRST}' and date '{LAST}'""",
+)
+
+
+def add_narrow(name: str, whole: str, build: Callable[[Tables], DataFrame], condition: str) -> None:
+    """A report asked for one key, against its twin for all keys."""
+    QUERIES[name] = Query(build, f"select * from ({QUERIES[whole].oracle}) where {condition}")
+
+
+add_narrow("in_stock_detail_of_item", "in_stock_detail", lambda t: stock_ops.in_stock_detail(t, 7), "itemID = 7")
+add_narrow("customer_netting_of_one", "customer_netting", lambda t: parties.customer_netting(t, 12), "customerID = 12")
+add_narrow("box_balance_of_shelf", "box_balance", lambda t: cash.box_balance(t, 2), "shelfID = 2")
+QUERIES["box_balance_of_shelf"] = Query(
+    QUERIES["box_balance_of_shelf"].build,
+    f"select amount, amountIQD from ({QUERIES['box_balance_of_shelf'].oracle})",
+)
+add_narrow("button_items_of_category", "button_items", lambda t: stock_ops.button_items(t, 4), "categoryID = 4")
+add_narrow(
+    "open_debt_invoices_of_customer", "open_debt_invoices", lambda t: parties.open_debt_invoices(t, 5), "customerID = 5"
+)
+add_narrow(
+    "open_debt_purchases_of_supplier", "open_debt_purchases", lambda t: parties.open_debt_purchases(t, 3),
+    "supplierID = 3",
+)
+add_narrow(
+    "purchase_lines_of_one", "purchase_lines",
+    lambda t: purchases.purchase_lines(t, t.purchase_items.agg(F.min("purchaseID")).first()[0]),
+    f"purchaseID = (select min(purchaseID) from ({QUERIES['purchase_lines'].oracle}))",
+)
+add_narrow(
+    "purchase_total_differs", "purchase_total_recompute",
+    lambda t: purchases.purchase_total_recompute(
+        t.replaced(purchases=t.purchases.withColumn("totalPrice", F.when(F.col("purchaseID") % 2 == 0, 0).otherwise(F.col("totalPrice")).cast(S.MONEY))),
+        only_changed=True,
+    ),
+    "true",
+)
+QUERIES["purchase_total_differs"] = Query(
+    QUERIES["purchase_total_differs"].build,
+    f"""select * replace (cast(0 as {M}) as totalPrice, true as differs)
+    from ({QUERIES["purchase_total_recompute"].oracle}) where purchaseID % 2 = 0 and lineTotal <> 0""",
+)
+add_narrow(
+    "expense_register_newest_first", "expense_register",
+    lambda t: cash.expense_register(t, EVENT_FIRST, EVENT_LAST, newest_first=True), "true",
+)
+
 # --- Streams ---------------------------------------------------------------------
 
 

@@ -516,6 +516,41 @@ def load(spark: SparkSession, folder: str) -> Tables:
         edits = [f"cast(previousBalance + 10 as {S.MONEY}) previousBalance"]
         return log_of(t.suppliers, "supplierID", edits, gone="is null")
 
+    def closings(t: Tables):
+        """Closings of open invoices, some of them closed twice."""
+        still = t.invoices.filter("sellStatus = '0' and invoiceID % 2 = 1").selectExpr(
+            "invoiceID",
+            "case when invoiceID % 10 = 1 then null else customerID end customerID",
+            f"cast(totalPrice * 2 as {S.MONEY}) totalPrice",
+            f"case when invoiceID % 4 = 1 then cast(totalPrice as {S.MONEY}) end initialPay",
+            f"cast(invoiceID % 3 * 1000 as {S.IQD}) totalPayIQD",
+            f"cast(null as {S.MONEY}) discount",
+            "case when invoiceID % 6 = 1 then 'rs' end stockType",
+            "case when invoiceID % 14 = 1 then null when invoiceID % 4 = 1 then 'd' else 'c' end invoiceType",
+            "invoiceID % 25 userIDUpdate",
+            f"case when invoiceID % 8 = 1 then cast(totalPrice * 2 as {S.MONEY}) else totalPrice end totalPay",
+        )
+        earlier = still.selectExpr("* except (totalPrice)", f"cast(1 as {S.MONEY}) totalPrice", "1L seq")
+        return still.withColumn("seq", F.lit(2).cast("bigint")).unionByName(earlier.filter("invoiceID % 5 = 1"))
+
+    def item_log(t: Tables):
+        rows = t.items
+        created = rows.withColumn("seq", F.lit(0).cast("bigint")).withColumn("op", F.lit("insert"))
+        price = rows.filter("itemID % 4 = 1").selectExpr(
+            "itemID", "3L seq", "'patch' op", f"cast(itemPriceRetail * 2 as {S.MONEY}) itemPriceRetail",
+            f"cast(itemPriceWhole * 2 as {S.MONEY}) itemPriceWhole",
+        )
+        whole = rows.filter("itemID % 6 = 1").selectExpr(
+            "itemID", "5L seq", "'update' op", "concat(itemName, ' new') itemName", "itemCode", "0 perUnit",
+            "costPrice", "itemPriceRetail", "itemPriceWhole", "stockAlert", "shelfID",
+        )
+        gone = rows.filter("itemID % 9 = 1").selectExpr("itemID", "7L seq", "'delete' op", "'x' itemName")
+        back = rows.filter("itemID % 18 = 1").selectExpr("itemID", "9L seq", "'patch' op", "'1' deleteStatus")
+        out = created
+        for more in (price, whole, gone, back):
+            out = out.unionByName(more, allowMissingColumns=True)
+        return out
+
     def early_payments(t: Tables):
         """Payments made while invoices still come in: some days after every third of them."""
         return t.invoices.filter("invoiceID % 3 = 0").selectExpr(
@@ -581,6 +616,8 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "customer_log": customer_log,
             "invoice_log": invoice_log,
             "expense_log": expense_log,
+            "closings": closings,
+            "item_log": item_log,
             "early_payments": early_payments,
             "sales_edits": sales_edits,
             "purchase_edits": purchase_edits,
