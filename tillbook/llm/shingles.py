@@ -51,6 +51,18 @@ def lots(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of some bytes; A-Z count as a-z."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate([[1], blank.astype(np.int8), [1]])))
+    starts, ends = edges[0::2], edges[1::2]
+    value = data.astype(U)
+    value[(data >= 65) & (data <= 90)] += U(32)
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum((value + U(1)) * up[: len(data)])])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+
+
 def pair_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its pairs of neighbouring words.
 
@@ -63,14 +75,7 @@ def pair_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         sizes = np.array([len(t) + 1 for t in lot])
         begins = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"\n".join(lot) + b"\n", dtype=np.uint8)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        edges = np.flatnonzero(np.diff(np.concatenate([[1], blank.astype(np.int8)])))
-        starts, ends = edges[0::2], edges[1::2]
-        value = data.astype(U)
-        value[(data >= 65) & (data <= 90)] += U(32)
-        up, down = powers(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((value + U(1)) * up[: len(data)])])
-        word = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+        starts, _, word = word_hashes(data)
         pair = mixed(word[:-1] * MIX_B + mixed(word[1:])) if len(word) > 1 else word[:0]
         bounds = np.searchsorted(starts, begins)
         for a, b in zip(bounds[:-1], bounds[1:]):
