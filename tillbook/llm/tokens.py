@@ -33,7 +33,7 @@ PERCENTILE = 95
 PAGE_IDS = 1 << 18
 HEAD = struct.Struct("<IHBH")
 # Words a Python worker remembers: the first it meets, and so the common ones. Others are encoded where they occur.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
 # A word that no text has, as it is no UTF-8: the end of a text.
 END = b"\xff"
 PAGES = (
@@ -95,7 +95,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 class Places:
     """Numbers of words by a 64-bit hash, in arrays: a table of open addresses, at most half full.
 
-    Among two million words a further one is taken for one of them with a probability of 1e-13.
+    Among half a million words a further one is taken for one of them with a probability of 3e-14.
     """
 
     def __init__(self, most: int):
