@@ -25,8 +25,9 @@ from tillbook.llm.text import lower_ascii, only, whole
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
-# Longs of the bit filter: so many for each shingle, within these bounds.
-LONGS_PER_SHINGLE, LEAST_LONGS, MOST_LONGS = 0.5, 2**8, 2**17
+# Longs of the bit filter: so many for each shingle, within these bounds. The upper one is 16 MB, with which ten million
+# shingles let a word in forty pass that is none of theirs; what passes is compared, so nothing is lost either way.
+LONGS_PER_SHINGLE, LEAST_LONGS, MOST_LONGS = 0.5, 2**8, 2**21
 # The windows are broadcast if they and the items listed with them are this few and take at most
 # 200 bytes each; else they are shuffled.
 MOST_BROADCAST = 50_000
@@ -199,13 +200,13 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     entries = stored(rarest)
     small = few(entries)
-    rows = places.select(*keys, "n_words", F.explode_outer("hits").alias("hit")).select(
+    rows = places.select(*keys, "n_words", F.explode("hits").alias("hit")).select(
         *keys, "n_words", "hit.at", "hit.shingle", "hit.first", "hit.near"
     )
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("near", start - F.col("first") + 1, F.col("length")) == F.col("window")
-    joined = rows.join(F.broadcast(entries) if small else entries, "shingle", "left")
+    joined = rows.join(F.broadcast(entries) if small else entries, "shingle")
     hit = F.when(fits, F.when(same, F.struct(start.alias("s"), (start + F.col("length")).alias("e"))))
     covered = F.aggregate(
         F.array_sort("_spans"),
@@ -216,8 +217,13 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
         lambda a: a.n,
     )
+    found = joined.select(*keys, "n_words", hit.alias("_hit"), "items").filter(F.col("_hit").isNotNull())
+    # Every document has a row, with or without hits; none of them goes through the join for it.
+    each = places.select(
+        *keys, "n_words", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("_hit", "items")]
+    )
     return (
-        joined.select(*keys, "n_words", hit.alias("_hit"), "items")
+        each.unionByName(found)
         .groupBy(*keys)
         .agg(
             F.max("n_words").alias("n_words"),
@@ -246,9 +252,14 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with all their columns."""
-    leaks = overlaps(docs, items).filter(F.col("n_hit") > 0).select("_k1", "_k2")
-    keyed = docs.withColumn("_k1", F.xxhash64("doc_id", "text")).withColumn(
-        "_k2", F.xxhash64("text", F.lit(1), "doc_id")
+    """The rows of ``docs`` that hold no window of an item, with all their columns.
+
+    What they are compared with are keys of the documents found, written first, so that the planner knows
+    how few they are.
+    """
+    leaks = stored(overlaps(docs, items).filter(F.col("n_hit") > 0).select("_k1", "_k2"))
+    doc_id, text = F.col("d.doc_id"), F.col("d.text")
+    same = (F.xxhash64(doc_id, text) == F.col("m._k1")) & (
+        F.xxhash64(text, F.lit(1), doc_id) == F.col("m._k2")
     )
-    return keyed.join(leaks, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    return docs.alias("d").join(leaks.alias("m"), same, "left_anti")

@@ -18,7 +18,9 @@ def repeated_lines_removed(docs: DataFrame, short: bool = False) -> DataFrame:
     ``n_lines`` counts lines with a word. A NULL text counts as empty. A text of fewer than
     three lines with words has no window and stays whole, unless ``short`` gives it one window
     over all of them, which only texts of as many lines share. A NULL id comes before all others.
-    A row repeated in full is one document: its copies get the same result.
+    A row repeated in full is one document: its copies get the same result. Where a passage repeats itself
+    at once, a later window also covers lines of the first occurrence: of the lines a, a, a, a one a is left, of
+    x, y, x, y, x, y one x and y.
     """
     keys = ["doc_id", "_k"]
     lines = F.split(whole(), "\n")

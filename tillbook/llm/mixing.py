@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillbook.functions.shared import stored
-from tillbook.llm.text import only, whole, words
+from tillbook.llm.text import only, words
 
 BITS, STEP, STEPS = 60, 10, 3
 # Weights of the sources in order of their names, again and again.
@@ -28,15 +28,24 @@ def hash60(value: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` in words, the key ``_source`` that is never NULL, and ``_hash``."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    return docs.select(
-        "*",
-        F.size(words(whole())).cast("long").alias("size"),
-        F.when(F.col("source").isNull(), F.lit("n"))
-        .otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    """Every row of ``docs`` as ``_row``, its ``size`` in words, the key ``_source`` that is never NULL, and ``_hash``.
+
+    The row's own columns are kept in a struct, so none of their names meets one of ours.
+    """
+    present = {c.lower(): c for c in docs.columns}
+
+    def own(name: str) -> Column:
+        return F.col(f"_row.`{present[name]}`") if name in present else F.lit(None).cast("string")
+
+    text = F.coalesce(own("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.select(
+        "_row",
+        F.size(words(text)).cast("long").alias("size"),
+        F.when(own("source").isNull(), F.lit("n"))
+        .otherwise(F.concat(F.lit("s"), own("source").cast("string")))
         .alias("_source"),
-        hash60(name).alias("_hash"),
+        hash60(F.coalesce(own("doc_id").cast("string"), text)).alias("_hash"),
     )
 
 
@@ -111,17 +120,12 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return bounds.select("_source", "source_size", "target", "times", F.coalesce(below, F.lit(0).cast("long")).alias("below"))
 
 
-def mixed(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_times: int = MOST_TIMES
-) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``times`` taken and words ``taken``.
+RESULTS = ("size", "source_size", "target", "times", "taken")
 
-    A NULL text has size 0, a NULL source is a source of its own and comes last. Documents
-    with equal ids, and those with a NULL id and equal texts, are taken alike. Without any
-    words all targets are 0 and nothing is taken.
-    """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "times", "taken")]
-    sized = measured(docs.select(*[F.col(f"`{c}`") for c in names]))
+
+def taken(docs: DataFrame, weights: Sequence[int], most_times: int) -> DataFrame:
+    """Every row of ``docs`` as ``_row``, with the results."""
+    sized = measured(docs)
     sizes = stored(sized.select("_source", "size", "_hash"))
     cuts = stored(thresholds(sizes, stored(targets(sizes, weights, most_times))))
     times = F.col("_times") + F.when(F.col("_hash") < F.col("_below"), 1).otherwise(0)
@@ -129,7 +133,23 @@ def mixed(
         sized.join(cuts.withColumnsRenamed({"times": "_times", "below": "_below"}), "_source")
         .withColumn("times", times)
         .withColumn("taken", F.col("size") * F.col("times"))
-        .drop("_source", "_hash", "_times", "_below")
+        .select("_row", *RESULTS)
+    )
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_times: int = MOST_TIMES
+) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``times`` taken and words ``taken``.
+
+    A NULL text has size 0, a NULL source is a source of its own and comes last. Documents
+    with equal ids, and those with a NULL id and equal texts, are taken alike. Without any
+    words all targets are 0 and nothing is taken. Columns of ``docs`` that are called like a result
+    give way to it; all others stay, whatever their names.
+    """
+    names = [c for c in docs.columns if c.lower() not in RESULTS]
+    return taken(docs, weights, most_times).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in names], *RESULTS
     )
 
 
@@ -140,8 +160,8 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken, with their own columns."""
-    taken = mixed(docs).filter(F.col("times") > 0)
-    return taken.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents of the mix, each as many times as it is taken, with all their own columns."""
+    rows = taken(docs, WEIGHTS, MOST_TIMES).filter(F.col("times") > 0)
+    return rows.select(
+        "_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_copy")
+    ).select("_row.*")

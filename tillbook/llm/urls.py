@@ -74,7 +74,7 @@ def url_filter(
     host, path = parts(whole("url"))
     split = only(pages, "page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
     place = F.concat("host", "path")
-    tokens = F.array_distinct(F.array_remove(F.split(F.lower(place), "[^a-z0-9]+"), ""))
+    tokens = F.array_distinct(F.array_remove(F.split(lower_ascii(place), "[^a-z0-9]+"), ""))
     keyed = split.select("page_id", "url", "host", "path", tokens.alias("tokens"))
     counts = keyed.select(F.explode("tokens").alias("token")).groupBy("token").count()
     given = spark.createDataFrame(
