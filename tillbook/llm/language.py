@@ -61,9 +61,9 @@ def features(lot: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = " " + " ".join(t.lower() for t in lot) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     points = np.where(points <= 32, np.uint32(32), points)
+    # A text owns the blank before it, so that its runs are the same in any lot.
     lengths = np.array([len(t.lower()) + 1 for t in lot])
     owner = np.repeat(np.arange(len(lot)), lengths)
-    owner = np.concatenate([owner[:1], owner])[: len(points)]
     owner = np.pad(owner, (0, len(points) - len(owner)), mode="edge")
     blank = points == 32
     numbers, texts = [], []
