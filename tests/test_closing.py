@@ -5,7 +5,7 @@ from decimal import Decimal as D
 from conftest import dicts, when
 from pyspark.sql import functions as F
 
-from tillbook.operators import changes, parties
+from tillbook.operators import cash, changes, parties
 
 CLOSING = (
     "invoiceID bigint, seq bigint, customerID bigint, totalPrice decimal(18,4), initialPay decimal(18,4),"
@@ -72,3 +72,17 @@ def test_a_statement_counts_pairs_and_copies_nothing(shop):
     whole = parties.partner_statement(t, "2024-01-01", "2024-01-31")
     assert whole.agg(F.sum("totalPrice")).first()[0] == sum(r["totalPrice"] * r["pairs"] for r in rows)
     assert whole.count() == sum(r["pairs"] for r in rows)
+
+
+def test_the_box_is_worth_its_dollars_and_dinars_at_the_current_rate(shop):
+    box = [
+        {"btID": 1, "shelfID": 1, "amount": 10, "amountIQD": 2500}, {"btID": 2, "shelfID": 1, "amount": -4, "amountIQD": 0},
+        {"btID": 3, "shelfID": 2, "amount": 3, "amountIQD": 9 * 10**15},
+    ]
+
+    def worth(*rates):
+        t = shop(box_transaction=box * 3, dollar=[{"dollarId": n, "dollarPrice": r} for n, r in rates])
+        return {r["shelfID"]: r["inDollars"] for r in dicts(cash.box_value(t))}
+
+    assert worth((1, 1250), (2, 5)) == {1: 18 + 6, 2: 9 + D(27 * 10**15) / 1250}
+    assert worth((1, 0)) == worth() == {1: 18, 2: 9}

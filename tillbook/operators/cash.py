@@ -66,6 +66,19 @@ def box_balance(t, shelf_id: int | None = None) -> DataFrame:
     return t.box_transaction.filter(F.col("shelfID") == shelf_id).agg(*sums)
 
 
+def box_value(t) -> DataFrame:
+    """Money in the box per shelf and what it is worth in dollars at the current rate.
+
+    The rate is one row; without it, or at a rate of zero, only the dollars count, as in ``to_dollars``.
+    """
+    rate = t.dollar.filter(F.col("dollarId") == S.CURRENT).agg(F.max("dollarPrice")).scalar()
+    balance = box_balance(t)
+    worth = F.round(F.try_divide(F.col("amountIQD"), rate), 6)
+    return balance.withColumn(
+        "inDollars", (F.col("amount") + F.coalesce(worth, F.lit(0))).cast(S.CONVERTED)
+    )
+
+
 def money_transfers(t, first: Day, last: Day) -> DataFrame:
     """Transfers between shelves with both names and the user."""
     target = t.shelfs.select(

@@ -663,6 +663,13 @@ add(
     f"""select shelfID, cast(sum(amount) as {T}) amount, cast(sum(amountIQD) as decimal(28,2)) amountIQD
     from box_transaction group by shelfID""",
 )
+add(
+    "box_value",
+    cash.box_value,
+    f"""select shelfID, cast(sum(amount) as {T}) amount, cast(sum(amountIQD) as decimal(28,2)) amountIQD,
+        cast(sum(amount) + cast(round(cast(sum(amountIQD) as decimal(28,10)) / 1150, 6) as decimal(28,6)) as {C}) inDollars
+    from box_transaction group by shelfID""",
+)
 add(
     "money_transfers",
     lambda t: cash.money_transfers(t, EVENT_FIRST, EVENT_LAST),

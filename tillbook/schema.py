@@ -37,6 +37,8 @@ YES = "1"
 NO = "0"
 
 WALK_IN = 1
+# The row that holds the current rate.
+CURRENT = 1
 MAIN_SHELF = 1
 
 TABLES = {
@@ -86,6 +88,7 @@ TABLES = {
     "expenses": f"""expenseID bigint, typeExpenseID bigint, shelfID bigint, priceExpenseIQD {IQD},
         priceExpenseUSD {MONEY}, dollarPrice {RATE}, note string, userIDCreated bigint,
         createAt timestamp_ntz""",
+    "dollar": f"dollarId bigint, dollarPrice {RATE}",
     "type_expense": "typeExpenseID bigint, typeName string",
     "money_box": f"""mbID bigint, shelfID bigint, shelfID2 bigint, amount {MONEY}, userID bigint,
         createAt timestamp_ntz""",

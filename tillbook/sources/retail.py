@@ -360,6 +360,12 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "ts createAt",
         )
 
+    def dollar(_):
+        """The current rate; other rows are none."""
+        return raw("region").selectExpr(
+            "cast(r_regionkey as bigint) dollarId", f"cast(1100 + r_regionkey * 50 as {S.RATE}) dollarPrice"
+        )
+
     def money_box(_):
         return events("view").selectExpr(
             "event_id mbID",
@@ -608,6 +614,7 @@ def load(spark: SparkSession, folder: str) -> Tables:
             "expenses": expenses,
             "cash_entries": cash_entries,
             "box_transaction": posting.post_cash,
+            "dollar": dollar,
             "money_box": money_box,
             "discounts": discounts,
             "transactions": posting.party_ledger,
