@@ -196,7 +196,9 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model | None:
         ).toDF("text", "label", "shard", "aside")
     )
 
-    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # noqa: ARG001
+    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # One order, whatever the tasks before: what is learned depends on it.
+        rows = rows.sort_values(["text", "label"])
         examples, done = [], 0
         labels = rows["label"].tolist()
         for lot in lots(rows["text"].tolist()):
@@ -208,17 +210,21 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> Model | None:
             done += len(lot)
         w = follow_leader(examples, len(languages), s)
         at = np.flatnonzero(np.abs(w).sum(axis=1))
-        return pd.DataFrame({"feature": at, "weights": pd.Series(w[at].tolist(), dtype=object)})
+        return pd.DataFrame(
+            {"feature": at, "shard": int(key[0]), "weights": pd.Series(w[at].tolist(), dtype=object)}
+        )
 
     learned = (
         sample.filter(~F.col("aside"))
         .groupBy("shard")
-        .applyInPandas(learn, "feature long, weights array<double>")
+        .applyInPandas(learn, "feature long, shard long, weights array<double>")
     )
-    sums = [F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(languages))]
+    # Added up in the order of the shards, so that reruns give the same sums.
+    parts = F.sort_array(F.collect_list(F.struct("shard", "weights"))).alias("parts")
     matrix = np.zeros((FEATURES, len(languages)))
-    for row in learned.groupBy("feature").agg(*sums).collect():  # FEATURES rows at most
-        matrix[row[0]] = row[1:]
+    for row in learned.groupBy("feature").agg(parts).collect():  # FEATURES rows at most
+        for part in row.parts:
+            matrix[row.feature] += part.weights
     matrix *= SCALE * idf[:, None] / s.shards
     model = Model(languages, matrix, 1.0)
     return Model(languages, matrix, temperature(model, sample.filter("aside")))
