@@ -8,7 +8,7 @@ from tillbook.llm import (
     classifier, contamination, conversations, language, lines, mixing, near, negatives, oracle, pii, quality,
     secrets, tokens, urls,
 )
-from tillbook.session import ready
+from tillbook.session import based
 
 
 # A vocabulary file of the public tokenizers, by its name there.
@@ -24,7 +24,7 @@ def tokenizer_path() -> str:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the folder. Batches for Python are kept small, as some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return ready(spark).read.parquet(f"{folder}/{name}.parquet")
+    return based(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Session settings the operators count on."""
 
+import re
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -11,9 +13,32 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# What adaptive execution deals to one task, compressed. A join of ledger rows with the aggregations after it
+# holds about twenty times that in memory, so Spark's own 64 MB would be more than a GB a task.
+AT_MOST = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 64 << 20,
+}
+UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
 
 
-def ready(spark: SparkSession) -> SparkSession:
+def in_bytes(text: str) -> int:
+    """A size as Spark's settings write it, like 64MB or 16k."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([bkmgtp]?)(?:i?b)?\s*", text.lower()).groups()
+    return int(number) << UNITS[unit]
+
+
+def based(spark: SparkSession) -> SparkSession:
+    """A session with the settings that results and hot keys need."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """A session for the ledgers: the base, and tasks of bounded size. Smaller limits of the caller stay."""
+    based(spark)
+    for name, most in AT_MOST.items():
+        if in_bytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, f"{most}b")
+    return spark
