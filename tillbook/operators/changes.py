@@ -6,7 +6,7 @@ one is the later change.
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
@@ -148,53 +148,53 @@ def apply_line_events(events: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     Events on a line that does not exist do nothing. A set quantity overrides all
     before it and later steps count on from it.
 
-    Three aggregations over the events; what one finds per line reaches the next
-    through a join that splits lines with very many events.
+    What one aggregation over the events finds per line the next one needs. As long as no line has very many
+    events these are windows over one shuffle; otherwise they are joined, which splits such lines.
     """
     kind, seq = F.col("kind"), F.col("seq")
-    row_key = F.col("seq")
     hot = hot_keys(events, LINE, floor)
-    dropped = events.filter(kind == DROP).groupBy(*LINE).agg(F.max("seq").alias("_dropped"))
-    live = (
-        spread_join(events.filter(kind != DROP), dropped, LINE, row_key, hot, "left")
-        .filter(F.col("_dropped").isNull() | (seq > F.col("_dropped")))
-        .drop("_dropped")
-    )
+    if hot is None:
+        live = _live_windowed(events)
+    else:
+        dropped = events.filter(kind == DROP).groupBy(*LINE).agg(F.max("seq").alias("_dropped"))
+        live = _after_drop(spread_join(events.filter(kind != DROP), dropped, LINE, seq, hot, "left"))
 
-    def last_set(what: str, column: str) -> list:
+    def last_set(what: str, column: str) -> dict:
         when = F.when(kind == what, seq)
-        return [F.max(when).alias(f"_{what}_at"), F.max_by(column, when).alias(f"_{what}")]
+        return {f"_{what}_at": F.max(when), f"_{what}": F.max_by(column, when)}
 
     opening = F.when(kind == ADD, seq)
-    anchors = (
-        live.groupBy(*LINE)
-        .agg(
-            F.min(opening).alias("_born"),
-            F.min_by("price", opening).alias("_price_0"),
-            F.min_by("cost", opening).alias("_cost_0"),
-            *last_set(SET_QTY, "qty"),
-            *last_set(SET_PRICE, "price"),
-            *last_set(SET_COST, "cost"),
-        )
-        .filter(F.col("_born").isNotNull())
-    )
+    found = {
+        "_born": F.min(opening),
+        "_price_0": F.min_by("price", opening),
+        "_cost_0": F.min_by("cost", opening),
+        **last_set(SET_QTY, "qty"),
+        **last_set(SET_PRICE, "price"),
+        **last_set(SET_COST, "cost"),
+    }
 
     def valid(what: str):
         return F.col(f"_{what}_at") > F.col("_born")
 
-    anchors = anchors.select(
-        *LINE,
-        F.when(valid(SET_PRICE), F.col("_price")).otherwise(F.col("_price_0")).alias("productPrice"),
-        F.when(valid(SET_COST), F.col("_cost")).otherwise(F.col("_cost_0")).alias("costPrice"),
-        F.when(valid(SET_QTY), F.col("_qty")).otherwise(0).alias("_base"),
-        F.when(valid(SET_QTY), F.col("_qty_at") + 1).otherwise(F.col("_born")).alias("_from"),
-    )
-    step = F.when(kind == ADD, F.col("qty")).when(kind == INC, 1).otherwise(-1)
-    steps = live.filter(kind.isin(ADD, INC, DEC)).select(*LINE, "seq", step.alias("_step"))
-    state = ["productPrice", "costPrice", "_base"]
+    anchors = {
+        "productPrice": F.when(valid(SET_PRICE), F.col("_price")).otherwise(F.col("_price_0")),
+        "costPrice": F.when(valid(SET_COST), F.col("_cost")).otherwise(F.col("_cost_0")),
+        "_base": F.when(valid(SET_QTY), F.col("_qty")).otherwise(0),
+        "_from": F.when(valid(SET_QTY), F.col("_qty_at") + 1).otherwise(F.col("_born")),
+    }
+    named = [column.alias(name) for name, column in anchors.items()]
+    born = F.col("_born").isNotNull()
+    step = F.when(kind == ADD, F.col("qty")).when(kind == INC, 1).otherwise(-1).alias("_step")
+    steps = kind.isin(ADD, INC, DEC)
+    if hot is None:
+        whole = Window.partitionBy(*LINE)
+        said = live.select("*", *[column.over(whole).alias(name) for name, column in found.items()])
+        rows = said.filter(steps & born).select(*LINE, "seq", step, *named)
+    else:
+        once = live.groupBy(*LINE).agg(*[column.alias(name) for name, column in found.items()]).filter(born)
+        rows = spread_join(live.filter(steps).select(*LINE, "seq", step), once.select(*LINE, *named), LINE, seq, hot)
     return (
-        spread_join(steps, anchors, LINE, row_key, hot)
-        .groupBy(*LINE, *state)
+        rows.groupBy(*LINE, "productPrice", "costPrice", "_base")
         .agg(F.sum(F.when(seq >= F.col("_from"), F.col("_step")).otherwise(0)).alias("_steps"))
         .select(
             *LINE,
@@ -205,6 +205,19 @@ def apply_line_events(events: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     )
 
 
+def _after_drop(events: DataFrame) -> DataFrame:
+    """Events after the last deletion of their line, ``_dropped``."""
+    return events.filter(F.col("_dropped").isNull() | (F.col("seq") > F.col("_dropped"))).drop("_dropped")
+
+
+def _live_windowed(events: DataFrame) -> DataFrame:
+    """Events but deletions, after the last deletion of their line. A line without a key is none."""
+    kind = F.col("kind")
+    dropped = F.max(F.when(kind == DROP, F.col("seq"))).over(Window.partitionBy(*LINE))
+    keyed = events.dropna(subset=LINE).withColumn("_dropped", dropped)
+    return _after_drop(keyed.filter(kind != DROP))
+
+
 def document_totals(lines: DataFrame) -> DataFrame:
     """Total of each document after its lines changed; documents without lines are gone."""
     return lines.groupBy("invoiceID").agg(

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
+from tillbook.functions.shared import stored
 from tillbook.functions.spread import HOT_FLOOR
 from tillbook.operators import posting
 from tillbook.operators.changes import ADD, apply_line_events
@@ -59,14 +60,16 @@ def touched_lines(t, side: Side, events: DataFrame) -> DataFrame:
     )
 
 
-def edited_lines(t, side: Side, events: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
-    """The touched lines after the events, with the columns of their table.
+def edited_lines(
+    t, side: Side, events: DataFrame, floor: int = HOT_FLOOR, old: DataFrame | None = None
+) -> DataFrame:
+    """The touched lines after the events, with the columns of their table; ``old`` are these lines if at hand.
 
     Columns that no event sets stay as they were, and are NULL on a new line.
     The stored line is the event before all others. A purchase line's discount is of a unit and stays,
     so its cost after discount follows its cost.
     """
-    old = touched_lines(t, side, events)
+    old = touched_lines(t, side, events) if old is None else old
     price = "productPrice" if side is SALES else "costPrice"
     before = old.select(
         F.col(side.key).alias("invoiceID"), "itemID", F.lit(-(2**63)).alias("seq"), F.lit(ADD).alias("kind"),
@@ -90,13 +93,22 @@ def edited_lines(t, side: Side, events: DataFrame, floor: int = HOT_FLOOR) -> Da
 
 
 def line_deltas(t, side: Side, events: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
-    """Lines taken back, of ``weight`` -1, and lines put in their place, of ``weight`` 1."""
-    old = touched_lines(t, side, events).withColumn(WEIGHT, F.lit(-1))
-    return old.unionByName(edited_lines(t, side, events, floor).withColumn(WEIGHT, F.lit(1)))
+    """Lines taken back, of ``weight`` -1, and lines put in their place, of ``weight`` 1.
+
+    Every later step reads these rows, some more than once, and so do the steps of the folding read the events and the
+    stored lines: all three are written once to the shared folder, when this is called.
+    """
+    events = stored(events.select(side.key, "itemID", "seq", "kind", "qty", "price", "cost"))
+    old = stored(touched_lines(t, side, events))
+    new = stored(edited_lines(t, side, events, floor, old))
+    return old.withColumn(WEIGHT, F.lit(-1)).unionByName(new.withColumn(WEIGHT, F.lit(1)))
 
 
 def total_deltas(t, side: Side, deltas: DataFrame) -> DataFrame:
-    """What the total and the number of lines of each touched document change by; ``gone`` if none is left."""
+    """What the total and the number of lines of each touched document change by; ``gone`` if none is left.
+
+    Written once to the shared folder, as heads and accounts read it more than once.
+    """
     change = deltas.groupBy(side.key).agg(
         F.sum(F.col(WEIGHT) * F.col("qty") * F.col(side.price)).cast(S.TOTAL).alias("totalChange"),
         F.sum(WEIGHT).alias("lineChange"),
@@ -107,11 +119,13 @@ def total_deltas(t, side: Side, deltas: DataFrame) -> DataFrame:
         .groupBy(side.key)
         .agg(F.count(F.lit(1)).alias("_had"))
     )
-    return change.join(had, side.key, "left").select(
-        side.key,
-        "totalChange",
-        "lineChange",
-        (F.coalesce("_had", F.lit(0)) + F.col("lineChange") <= 0).alias("gone"),
+    return stored(
+        change.join(had, side.key, "left").select(
+            side.key,
+            "totalChange",
+            "lineChange",
+            (F.coalesce("_had", F.lit(0)) + F.col("lineChange") <= 0).alias("gone"),
+        )
     )
 
 
@@ -128,12 +142,11 @@ def stock_deltas(t, side: Side, deltas: DataFrame) -> DataFrame:
 
     Rows of a line that is as it was cancel out, and so do a document's that is not posted.
     """
-    heads = getattr(t, side.heads).join(deltas.select(side.key).distinct(), side.key, "left_semi")
     columns = getattr(t, side.lines).columns
 
     def posted(weight: int) -> DataFrame:
         lines = deltas.filter(F.col(WEIGHT) == weight).select(*columns)
-        rows = side.stock(t.replaced(**{side.heads: heads, side.lines: lines}))
+        rows = side.stock(t.replaced(**{side.lines: lines}))
         return rows.withColumn("qty", F.col("qty") * weight).withColumn(WEIGHT, F.lit(weight))
 
     return summed_up(posted(-1).unionByName(posted(1)), "qty", "int")
