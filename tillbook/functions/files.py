@@ -15,6 +15,11 @@ class Files:
         store, place = self._at(path)
         return store.exists(place)
 
+    def size(self, path: str) -> int:
+        """Bytes of a file, or of all files below a folder; none if there is nothing."""
+        store, place = self._at(path)
+        return store.getContentSummary(place).getLength() if store.exists(place) else 0
+
     def remove(self, path: str) -> None:
         store, place = self._at(path)
         store.delete(place, True)

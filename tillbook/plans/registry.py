@@ -1479,12 +1479,15 @@ STREAMS = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def sized(spark: SparkSession, folder: str) -> SparkSession:
+        return ready(spark, retail.size(spark, folder))
+
     def over_folder(query: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: query.build(retail.load(ready(spark), folder))
+        return lambda spark, folder: query.build(retail.load(sized(spark, folder), folder))
 
     found = {name: over_folder(query) for name, query in QUERIES.items()}
     for name, query in STREAMS.items():
-        found[name] = lambda spark, folder, run=query.run: run(ready(spark), folder)
+        found[name] = lambda spark, folder, run=query.run: run(sized(spark, folder), folder)
     return found
 
 

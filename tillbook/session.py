@@ -19,6 +19,10 @@ AT_MOST = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 64 << 20,
 }
+# Adaptive execution joins partitions up to the size above but cuts none, outside skewed joins. So there is one for
+# as many bytes of the tables' files, whatever number of them the caller has set.
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+FILE_BYTES = 4 << 20
 UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
 
 
@@ -35,10 +39,17 @@ def based(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """A session for the ledgers: the base, and tasks of bounded size. Smaller limits of the caller stay."""
+def ready(spark: SparkSession, size: int = 0) -> SparkSession:
+    """A session for the ledgers: the base, and tasks of bounded size for tables whose files have ``size`` bytes.
+
+    Smaller limits of the caller stay, and larger numbers of partitions.
+    """
     based(spark)
     for name, most in AT_MOST.items():
         if in_bytes(spark.conf.get(name)) > most:
             spark.conf.set(name, f"{most}b")
+    given, initial = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get(INITIAL, None)
+    partitions = max(-(-size // FILE_BYTES), given, int(initial or 0))
+    if partitions > int(initial or given):
+        spark.conf.set(INITIAL, str(partitions))
     return spark

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook import schema as S
+from tillbook.functions.files import Files
 from tillbook.operators import posting
 from tillbook.sources.tables import Tables
 
@@ -42,6 +43,12 @@ PURCHASE_TYPE = "case when l_suppkey % 10 = 0 then 'rp' else 'p' end"
 EXPIRY = "case when l_partkey % 7 = 0 then date_add(date '2000-01-01', p_size) end"
 
 
+def size(spark: SparkSession, folder: str) -> int:
+    """Bytes of the Parquet files that ``load`` reads."""
+    files = Files(spark)
+    return sum(files.size(f"{folder}/{name}.parquet") for name in RAW)
+
+
 def load(spark: SparkSession, folder: str) -> Tables:
     """All shop tables over the Parquet files of a folder."""
 
