@@ -8,6 +8,7 @@ from tillbook.plans import registry
 from tillbook.sources import retail
 
 ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+SCANNED = "spark.sql.files.maxPartitionBytes"
 
 
 def test_a_task_is_dealt_at_most_sixteen_mb(spark):
@@ -66,3 +67,13 @@ def test_stock_reports_read_no_larger_partitions_when_few_are_set(spark, tmp_pat
         plan = explained(found[name](other, str(tmp_path)))
         dealt = {int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)}
         assert dealt and min(dealt) >= 9, (name, dealt)
+
+
+def test_a_scan_reads_at_most_32_mb(spark):
+    other = spark.newSession()
+    other.conf.set(SCANNED, "128m")
+    session.ready(other)
+    assert session.in_bytes(other.conf.get(SCANNED)) == 32 << 20
+    other.conf.set(SCANNED, "1m")
+    session.ready(other)
+    assert other.conf.get(SCANNED) == "1m"

@@ -18,6 +18,8 @@ SETTINGS = {
 AT_MOST = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 64 << 20,
+    # A scan that feeds more than 200 partitions holds its rows until they are written, sorted by partition.
+    "spark.sql.files.maxPartitionBytes": 32 << 20,
 }
 # Adaptive execution joins partitions up to the size above but cuts none, outside skewed joins. So there is one for
 # as many bytes of the tables' files, whatever number of them the caller has set.
