@@ -4,6 +4,7 @@ import re
 
 from test_ledgers import explained
 from tillbook import session
+from tillbook.functions.files import Files
 from tillbook.plans import registry
 from tillbook.sources import retail
 
@@ -77,3 +78,16 @@ def test_a_scan_reads_at_most_32_mb(spark):
     other.conf.set(SCANNED, "1m")
     session.ready(other)
     assert other.conf.get(SCANNED) == "1m"
+
+
+def test_broadcasts_are_guessed_by_unpacked_size(spark, tmp_path):
+    """A file of 3 MB is not broadcast as if its rows took 3 MB."""
+    other = session.ready(spark.newSession())
+    path = str(tmp_path / "rows.parquet")
+    other.range(800_000).selectExpr("id", "id % 7 n").coalesce(1).write.parquet(path)
+    bytes_there = Files(other).size(path)
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 * bytes_there))
+    rows = other.read.parquet(path)
+    assert "BroadcastHashJoin" not in explained(rows.join(rows.withColumnRenamed("n", "m"), "id"))
+    other.conf.set(session.FACTOR, "20.0")
+    assert session.ready(other).conf.get(session.FACTOR) == "20.0"

@@ -21,6 +21,9 @@ AT_MOST = {
     # A scan that feeds more than 200 partitions holds its rows until they are written, sorted by partition.
     "spark.sql.files.maxPartitionBytes": 32 << 20,
 }
+# Bytes in memory for a byte of a file, when Spark guesses whether a table is small enough to broadcast: a few columns
+# of seven million items are 6 MB of files and several hundred MB on the driver.
+FACTOR, UNPACKED = "spark.sql.sources.fileCompressionFactor", 8.0
 # Adaptive execution joins partitions up to the size above but cuts none, outside skewed joins. So there is one for
 # as many bytes of the tables' files, whatever number of them the caller has set.
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -50,6 +53,8 @@ def ready(spark: SparkSession, size: int = 0) -> SparkSession:
     for name, most in AT_MOST.items():
         if in_bytes(spark.conf.get(name)) > most:
             spark.conf.set(name, f"{most}b")
+    if float(spark.conf.get(FACTOR)) < UNPACKED:
+        spark.conf.set(FACTOR, str(UNPACKED))
     given, initial = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get(INITIAL, None)
     partitions = max(-(-size // FILE_BYTES), given, int(initial or 0))
     if partitions > int(initial or given):
